@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, token_counts, token_ids, url_filter
+from . import chat, line_dedup, minhash, quality, token_counts, token_ids, url_filter
 from .common import UPPER, read_table
 
 
@@ -60,6 +60,14 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(spark, files)
 
 
+#: Three words, and 100 * intersection >= 85 * union.
+NEAR = minhash.Rule(k=3, percent=85)
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), NEAR)
+
+
 RULES = (
     url_filter.Rule("allow", "com/"),
     url_filter.Rule("block", "example.com/en/"),
@@ -140,13 +148,23 @@ FROM lines LEFT JOIN common c ON lines.k = c.k GROUP BY rid, doc_id
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id")) != 0).select("doc_id", F.col("quality").alias("label"))
+    out = quality.score(docs, quality.fit(docs, labels))
+    held = F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op3_token_ids": op3_token_ids,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_token_counts": op7_token_counts,
         "op9_line_dedup": op9_line_dedup,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
