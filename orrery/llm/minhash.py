@@ -6,8 +6,9 @@
    linear in the bucket's size. Signatures are compared batch by batch; a pair goes as soon as the posterior probability
    (uniform prior) of a similarity at the threshold or above falls under ``miss``; the others are verified on whole sets.
 3. What is left are pairs of one bucket that no links join so far. Each bucket's members but its smallest are split into
-   the largest group already joined and the rest; the rest is compared with all others, in blocks of bounded size that
-   numpy compares as arrays. A group joined already is never compared within itself, and only found links leave a task.
+   the largest group already joined and the rest. Buckets with the same largest group are put together; there the rest is
+   compared with all others, in blocks of bounded size that numpy compares as arrays. A group joined already is never
+   compared within itself, and only found links leave a task.
 4. Links give components; a document's is its class's.
 
 With 32 bands of 4 rows a pair at a similarity of 0.85 shares no bucket with a probability of 5e-11 (0.8: 5e-8), and
@@ -199,9 +200,9 @@ def _shared(head: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def _block_links(rows: list[tuple], rule: Rule, least: list[int]) -> list[tuple[int, int]]:
-    """Links between two blocks of one bucket, or within one: a spanning set, given the groups joined already.
+    """Links between two blocks of members, or within one: a spanning set, given the groups joined already.
 
-    A row is (bucket, i, j, side, rep, label, sig, text). Side 0 and 1 are the blocks i and j; with i == j all are on side 0.
+    A row is (main, i, j, side, rep, label, sig, text). Side 0 and 1 are the blocks i and j; with i == j all are on side 0.
     """
     left = [r for r in rows if r[3] == 0]
     right = [r for r in rows if r[3] == 1] or left
@@ -299,19 +300,19 @@ def _rest_links(shared: DataFrame, reps: DataFrame, texts: DataFrame, links: Dat
     members = shared.filter("n > 2 and rep <> a").join(labels, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
     by_label = members.groupBy("bucket", "label").agg(F.count("rep").alias("c"))
     split = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    sized = split.select("bucket", F.col("top.label").alias("main"), blocks(F.col("top.c")).alias("n_main"), blocks(F.col("all") - F.col("top.c")).alias("n_rest"))
-    met = members.join(sized, "bucket")
+    # Buckets whose largest group is the same are handled as one: copies share many buckets, and so meet once.
+    met = staged(members.join(split.select("bucket", F.col("top.label").alias("main")), "bucket").select("main", "rep", "label").distinct(), "met")
+    blocks = lambda c: F.greatest(F.ceil(F.sum(c.cast("int")) / BLOCK), F.lit(1)).cast("int")
+    rest = F.col("label") != F.col("main")
+    sized = met.groupBy("main").agg(blocks(~rest).alias("n_main"), blocks(rest).alias("n_rest"))
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     # Blocks of the rest are 0 to n_rest - 1, those of the largest group follow.
-    rest = F.col("label") != F.col("main")
     at = F.when(rest, own(F.col("n_rest"))).otherwise(own(F.col("n_main")) + F.col("n_rest"))
-    placed = met.withColumn("at", at)
     others = F.sequence(F.lit(0), F.when(rest, F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
-    sent = placed.select("bucket", "rep", "label", "at", F.explode(others).alias("to"))
-    dealt = sent.select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), F.when(F.col("at") <= F.col("to"), 0).otherwise(1).alias("side"), "rep", "label")
-    loaded = dealt.join(reps.select("rep", "sig"), "rep").join(texts, "rep").select("bucket", "i", "j", "side", "rep", "label", "sig", "text")
-    ready = loaded.repartition(partitions(shared.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    sent = met.join(sized, "main").withColumn("at", at).select("main", "rep", "label", "at", F.explode(others).alias("to"))
+    dealt = sent.select("main", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), F.when(F.col("at") <= F.col("to"), 0).otherwise(1).alias("side"), "rep", "label")
+    loaded = dealt.join(reps.select("rep", "sig"), "rep").join(texts, "rep").select("main", "i", "j", "side", "rep", "label", "sig", "text")
+    ready = loaded.repartition(partitions(shared.sparkSession), "main", "i", "j").sortWithinPartitions("main", "i", "j")
     least = rule.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
