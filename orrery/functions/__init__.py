@@ -1,0 +1 @@
+"""Column functions with dataframe semantics. All are native expressions and hold under ANSI mode."""

@@ -1,0 +1 @@
+"""Expression translation, and the registered queries."""
