@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 from typing import Generic, TypeVar
 
+import pyarrow as pa
+
 V = TypeVar("V")
 
 #: Chunks in a generation, and the longest chunk kept, in code points.
@@ -26,46 +29,36 @@ class Memory(Generic[V]):
         self.make, self.size = make, size
         self.young: dict[str, V] = {}
         self.old: dict[str, V] = {}
+        self.long: list[str] = []  # held for one call only
 
-    def table(self, chunks: set[str]) -> dict[str, V]:
-        """A dictionary that holds ``chunks`` at least; use it before the next call."""
+    def table(self, lists: Iterable[list[str]]) -> dict[str, V]:
+        """A dictionary that holds the chunks of ``lists`` at least; use it before the next call."""
+        for c in self.long:
+            del self.young[c]
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        new = chunks.difference(self.young)
-        if not new:
-            return self.young
-        for c in new.intersection(self.old):
-            self.young[c] = self.old[c]
-        missing = list(new.difference(self.old))
-        made = dict(zip(missing, self.make(missing), strict=True))
-        if any(len(c) > LONGEST for c in missing):
-            long = {c: made[c] for c in missing if len(c) > LONGEST}
-            self.young.update((c, v) for c, v in made.items() if c not in long)
-            return {**self.young, **long} if len(long) > 1000 else _Layered(self.young, long)
-        self.young.update(made)
-        return self.young
-
-
-class _Layered(dict):
-    """``small`` over ``large``, without a copy of ``large``."""
-
-    def __init__(self, large: dict, small: dict) -> None:
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key: str):
-        return self.large[key]
-
-
-def grouped(texts: list[str | None]) -> Iterator[list[str]]:
-    """Texts in order in groups of about ``GROUP`` code points; null counts as empty."""
+        young, old, new = self.young, self.old, set()
+        known = young.__contains__
+        for chunks in lists:
+            new.update(filterfalse(known, chunks))
+        for c in filter(old.__contains__, new):
+            young[c] = old[c]
+        missing = list(new.difference(old))
+        young.update(zip(missing, self.make(missing), strict=True))
+        self.long = [c for c in missing if len(c) > LONGEST]
+        return young
+
+
+def grouped(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
+    """A column of texts in order in groups of about ``GROUP`` code points; null counts as empty."""
     group, n = [], 0
-    for t in texts:
-        group.append(t or "")
-        n += len(group[-1])
-        if n >= GROUP:
-            yield group
-            group, n = [], 0
+    for i in range(0, len(column), rows):
+        for t in column.slice(i, rows).to_pylist():
+            group.append(t or "")
+            n += len(group[-1])
+            if n >= GROUP:
+                yield group
+                group, n = [], 0
     if group:
         yield group
 
@@ -75,20 +68,27 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    out = Tokenizer.from_file(path)
+    out.model._resize_cache(0)  # chunks come once each
+    return out
 
 
+#: Some letters, all of Unicode's category L, and some marks that aren't letters, digits or apostrophes: tokenizers of this
+#: kind always cut between the two, so a word is one chunk with and without a mark after it.
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u01ba", ".,;:!?|%#&$*"
 #: A word with the blank before it, or white space up to the last of a run: byte-level pre-tokens never cross these cuts.
-_BYTE_CHUNK = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
+_BYTE_CHUNK = re.compile(rf" ?[{_LETTERS}]+(?=[{_MARKS} \n])| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
+_WORD_CHUNK = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS} \n])|[^ \n\t\r]+")
 #: White space that the pattern above doesn't know, and the start of a special string: such a text is encoded whole.
-_BYTE_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|")
+_ASCII_ODD = ("<|", *map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F)))
+_ODD = (*_ASCII_ODD, *map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
-def byte_chunks(text: str) -> list[str]:
-    """Chunks for a byte-level tokenizer that keeps white space and attaches one blank to the word after it."""
-    return [text] if _BYTE_ODD.search(text) else _BYTE_CHUNK.findall(text)
+def byte_chunks(text: str) -> list[str] | None:
+    """Chunks for a byte-level tokenizer that keeps white space and attaches one blank to the word after it; null for an odd text."""
+    return None if any(map(text.__contains__, _ASCII_ODD if text.isascii() else _ODD)) else _BYTE_CHUNK.findall(text)
 
 
 def word_chunks(text: str) -> list[str]:
     """Chunks for a tokenizer that drops white space and never looks across it."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return _WORD_CHUNK.findall(text)

@@ -170,12 +170,11 @@ class TokenCounter:
         np.add.at(base, np.repeat(np.arange(len(chunks)), sizes), self.merges.surviving(words))
         return base.tolist()
 
-    def counts(self, texts: list[str | None]) -> list[int]:
+    def counts(self, column: pa.Array) -> list[int]:
         out: list[int] = []
-        for group in pretokens.grouped(texts):
+        for group in pretokens.grouped(column):
             cut = [pretokens.word_chunks(t) for t in group]
-            table = self.memory.table(set().union(*cut))
-            get = table.__getitem__
+            get = self.memory.table(cut).__getitem__
             out += [sum(map(get, c)) for c in cut]
         return out
 
@@ -199,7 +198,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
         for b in batches:
-            n = c.counts(b.column(1).to_pylist())
+            n = c.counts(b.column(1))
             size = [x or 0 for x in pa.compute.binary_length(b.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

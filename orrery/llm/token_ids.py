@@ -19,11 +19,13 @@ hash of the text. Rows with a null doc_id come first. An empty table makes no fi
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import new_folder, partitions
+from .common import new_folder, partitions, small_batches
 
 MAGIC = b"ORRYIDS1"
 TRAILER = struct.Struct("<6q")
@@ -62,31 +64,63 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts as the library gives them without special tokens added, as little-endian unsigned 32-bit integers."""
+    """Ids of texts as the library gives them without special tokens added, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, chunks: Callable[[str], list[str]]) -> None:
-        self.library, self.chunks = pretokens.load(path), chunks
+    ``words`` says whether the tokenizer drops white space (and lower-cases), or keeps it byte by byte. Chunks not seen yet
+    are encoded in a row, one call for many, and told apart by the bytes that their tokens stand for.
+    """
+
+    def __init__(self, path: str, words: bool = False) -> None:
+        self.library, self.words = pretokens.load(path), words
+        self.chunks = pretokens.word_chunks if words else pretokens.byte_chunks
         self.memory = pretokens.Memory(self._encode)
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token) - len(suffix) * (bool(suffix) and token.endswith(suffix))
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _plain(self, c: str) -> bool:
+        """Whether a chunk can be encoded in a row with others: no white space by itself, no special string, no change of length."""
+        return ("<|" not in c and (c.isascii() or unicodedata.is_normalized("NFC", c))) if self.words else c[-1] > " "
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for group in pretokens.grouped(texts):
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if self._plain(c)]
+        own = [chunks[i] for i in plain]
+        lead = [not self.words and c[0] != " " for c in own]
+        text = " ".join(own) if self.words else "".join(f"\n{c}" if x else c for c, x in zip(own, lead, strict=True))
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4") if own else np.zeros(0, dtype="<u4")
+        ends = np.cumsum([len((c.lower() if self.words else c).encode()) + x for c, x in zip(own, lead, strict=True)])
+        reached = np.cumsum(self.sizes[np.minimum(ids, len(self.sizes) - 1)])
+        last = np.searchsorted(reached, ends)
+        if own and len(reached) and reached[-1] == ends[-1] and (reached[last] == ends).all():
+            data, at = ids.tobytes(), 0
+            for i, end, x in zip(plain, (4 * last + 4).tolist(), lead, strict=True):
+                out[i] = data[at + 4 * x : end]
+                at = end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column, in order; null counts as empty."""
+        for group in pretokens.grouped(column):
             cut = list(map(self.chunks, group))
-            get = self.memory.table(set().union(*cut)).__getitem__
-            for c in cut:
-                yield b"".join(map(get, c))
+            get = self.memory.table(filter(None, cut)).__getitem__
+            for t, c in zip(group, cut, strict=True):
+                yield b"".join(map(get, c)) if c is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, chunks: Callable[[str], list[str]]) -> Encoder:
-    key = path, chunks.__name__
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, chunks)
-    return _ENCODERS[key]
+def encoder(path: str, words: bool = False) -> Encoder:
+    if (path, words) not in _ENCODERS:
+        _ENCODERS[path, words] = Encoder(path, words)
+    return _ENCODERS[path, words]
 
 
 def filesystem(uri: str):
@@ -187,9 +221,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, out, uri = encoder(tokenizer, pretokens.byte_chunks), None, f"{folder}/{uuid.uuid4().hex}.ids"
+        enc, out, uri = encoder(tokenizer), None, f"{folder}/{uuid.uuid4().hex}.ids"
         for b in batches:
-            for doc_id, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 out = out or Writer(uri, bits)
                 out.add(doc_id, np.concatenate([np.frombuffer(data, dtype="<u4"), end]))
         if out:
@@ -198,7 +232,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, fol
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    done = ordered.mapInArrow(run, "part int, uri string, n long").collect()
+    with small_batches(spark):
+        done = ordered.mapInArrow(run, "part int, uri string, n long").collect()
     return [(r.uri, r.n) for r in sorted(done)]
 
 
