@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, quality, token_counts, token_ids, url_filter
+from . import ann, chat, decontaminate, line_dedup, minhash, packing, quality, token_counts, token_ids, url_filter
 from .common import UPPER, read_table
 
 
@@ -55,6 +55,11 @@ FROM moves GROUP BY conv_id
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048)
+    return packing.pack(cut, length=2048)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_ids.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
     return token_ids.read_ids(spark, files)
@@ -125,6 +130,15 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 """
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(read_table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
@@ -159,10 +173,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_packing": op2_packing,
         "op3_token_ids": op3_token_ids,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_token_counts": op7_token_counts,
+        "op8_decontamination": op8_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
