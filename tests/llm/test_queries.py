@@ -1,0 +1,56 @@
+"""The registered queries: SQL where there is some, and the pipeline stage by stage."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from orrery.llm import decontaminate, queries
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = queries.queries()[name](spark, small)
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(map(repr, map(tuple, df.select(*names).collect()))) == Counter(map(repr, cur.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_runs(spark, small, name):
+    assert queries.queries()[name](spark, small).count() > 0
+
+
+def test_stages(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        out = stage(spark, docs, small)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            break
+        assert out.columns == columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        after = spark.createDataFrame(rows, docs.schema)
+        assert len(rows) <= before and (name != "line_dedup" or len(rows) == before)
+        if name == "line_dedup":
+            assert all(r.n_chars == len(r.text) for r in rows)
+        if name == "decontamination":
+            bench = spark.read.parquet(f"{small}/benchmark.parquet")
+            assert decontaminate.find_leaks(after, bench).count() == 0 and len(rows) == before - decontaminate.find_leaks(docs, bench).select("doc_id").distinct().count()
+        docs = after
+
+
+def test_stages_take_no_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, small).count() == 0
