@@ -30,20 +30,57 @@ def knapsack(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), counts
 
 
-def relaxed(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, max_rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def first_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A pattern for each length: as many of it as fit, filled up with shorter ones of which enough are left to go along.
+
+    No pattern has a longer piece than its own, so they are independent, and together they meet the demand exactly.
+    """
+    left = demand.astype(np.float64)
+    out = np.diag(np.ones(len(weights)))
+    for i in range(len(weights) - 1, -1, -1):
+        own = int(capacity // weights[i])
+        out[i, i] = own
+        times = left[i] / own
+        left[i] = 0
+        room = capacity - own * int(weights[i])
+        j = i - 1
+        while times > 0 and room >= weights[0] and j >= 0:
+            j = min(j, int(np.searchsorted(weights, room, side="right")) - 1)
+            if j < 0:
+                break
+            n = int(min(room // weights[j], left[j] // times))
+            if n > 0:
+                out[i, j] = n
+                left[j] -= n * times
+                room -= n * int(weights[j])
+            j -= 1
+    return out
+
+
+def relaxed(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, max_rounds: int = 4000, smooth: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used, in the linear relaxation.
 
-    Revised simplex on the patterns found so far, from one pattern for each length; each round the knapsack prices a new
-    pattern. Stops when the lower bound that the prices give is within ``gap`` of the number of stocks.
+    Revised simplex on the patterns found so far, from ``first_patterns``; each round the knapsack prices a new
+    pattern. It is priced at ``smooth`` of the best prices seen (at first by length) and the rest of the present ones, which
+    settles far sooner than the present ones alone; where that finds nothing, at the present ones. Stops when the lower
+    bound that the best prices give is within ``gap`` of the number of stocks.
     """
-    per_stock = capacity // weights
-    patterns = np.diag(per_stock).astype(np.float64)
-    inverse = np.diag(1 / per_stock)
-    use = demand / per_stock
+    patterns = first_patterns(weights, demand, capacity)
+    inverse = np.linalg.inv(patterns).T
+    use = np.maximum(inverse @ demand, 0)
+    best, bound = weights / capacity, float(weights @ demand) / capacity
     for _ in range(max_rounds):
+        if bound >= use.sum() * (1 - gap):
+            break
         prices = inverse.sum(axis=0)
-        value, counts = knapsack(weights, prices, capacity)
-        if value <= 1 + 1e-9 or prices @ demand / value >= use.sum() * (1 - gap):
+        for share in (smooth, 0.0):
+            asked = np.maximum(share * best + (1 - share) * prices, 0)
+            value, counts = knapsack(weights, asked, capacity)
+            if (here := float(asked @ demand) / max(value, 1)) > bound:
+                best, bound = asked / max(value, 1), here
+            if prices @ counts > 1 + 1e-9:
+                break
+        else:
             break
         direction = inverse @ counts
         ratio = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
