@@ -6,12 +6,18 @@ item's q-grams, on diagonals (place in the text less place in the item) that spa
 strips of k + 1; two neighbouring strips form a band, bands overlap by a strip, so one band has all of them. Bands with
 fewer shared q-grams are dropped, the others are aligned by dynamic programming along the band.
 
+A document can hold a part of an item only. So an item of more than ``WINDOW`` bytes is also searched for by its windows of
+that size, ``STRIDE`` bytes apart and one at its end, each with an edit budget and bound of its own: a run of
+``WINDOW + STRIDE - 1`` bytes of the item has one in full, and at a rate of 0.1 a run of ``WINDOW`` bytes is within the
+budget of one. Shorter runs can go unreported.
+
 Texts are never shuffled: the benchmark goes to the documents, in blocks of bounded size with one pass each.
 
 Defined results: a null or empty text holds nothing. Items that are null or have no letter or digit match nothing. Items
 too short for the bound at q = 8 have a shorter q, down to 1, so that the bound stays positive. Repeated documents and
 items are each reported. Null ids are reported as null. Empty tables give an empty result. A document that holds an item
-several times has one row for it, with the fewest edits and the first such place.
+several times has one row for it, with the fewest edits and the first such place. Where only windows of an item are held,
+that is the window with the fewest edits; edits and place are the window's.
 """
 
 from __future__ import annotations
@@ -27,6 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
+#: Bytes of a longer item that are searched for on their own, and from one such window to the next.
+WINDOW = 100
+STRIDE = 20
 #: Bytes of benchmark text in a block, which travels with the tasks of one pass.
 BLOCK_BYTES = 8 << 20
 #: Texts are handled in groups of about so many bytes.
@@ -73,26 +82,35 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items. Its entries are the items and, after them, the windows of each that is longer than a window."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float) -> None:
         self.ids: list[int | None] = []
         self.texts: list[np.ndarray] = []
-        by_q: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
             t = folded(np.frombuffer((text or "").encode(), dtype=np.uint8))[0]
             t = t[:-1] if len(t) and t[-1] == 32 else t
             if len(t):
-                k = int(rate * len(t))
-                by_q[max(1, min(Q, len(t) // (k + 1)))].append(len(self.ids))
                 self.ids.append(item_id)
                 self.texts.append(t)
+        lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.windows = np.where(lengths > WINDOW, -(-(lengths - WINDOW) // STRIDE) + 1, 0)
+        self.first = len(lengths) + np.cumsum(self.windows) - self.windows
+        self.owner, self.start = np.arange(len(lengths)), np.zeros(len(lengths), dtype=np.int64)
+        if self.windows.any():
+            owner = np.repeat(self.owner, self.windows)
+            start = np.minimum(STRIDE * (np.arange(len(owner)) + len(lengths) - self.first[owner]), lengths[owner] - WINDOW)
+            self.owner, self.start = np.concatenate((self.owner, owner)), np.concatenate((self.start, start))
+            self.texts += [self.texts[i][at : at + WINDOW] for i, at in zip(owner.tolist(), start.tolist(), strict=True)]
         self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.edits = (rate * self.sizes).astype(np.int64)
+        self.q = np.maximum(1, np.minimum(Q, self.sizes // (self.edits + 1)))
+        self.least = np.maximum(1, self.sizes - self.q + 1 - self.edits * self.q)
+        # An item's q-grams are indexed at its own q and, for its windows, at theirs.
+        by_q: dict[int, list[int]] = defaultdict(list)
+        for q, i in sorted({*zip(self.q.tolist(), self.owner.tolist(), strict=True)}):
+            by_q[q].append(i)
         self.classes = [self._index(q, own) for q, own in sorted(by_q.items())]
-        self.least = np.zeros(len(self.ids), dtype=np.int64)
-        for q, own in by_q.items():
-            self.least[own] = np.maximum(1, self.sizes[own] - q + 1 - self.edits[own] * q)
 
     def _index(self, q: int, own: list[int]) -> _Class:
         parts = [grams(self.texts[i], q) for i in own]
@@ -106,9 +124,8 @@ class Index:
         return _Class(q, keys, np.append(first, len(codes)), item[order], place[order], seen)
 
     def candidates(self, data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, first diagonal and document of each band that meets the bound. ``doc`` is the document of each place."""
+        """Entry, first diagonal and document of each band that meets the bound. ``doc`` is the document of each place."""
         found = []
-        n_docs, wide = int(doc[-1]) + 1 if len(doc) else 1, len(data) + int(self.sizes.max()) + 4
         for c in self.classes:
             codes = grams(data, c.q)
             may = np.flatnonzero(c.seen[_slot(codes)])
@@ -117,29 +134,61 @@ class Index:
             may, at = may[hit], at[hit]
             n = c.first[at + 1] - c.first[at]
             which = np.repeat(c.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            item, where = c.item[which], np.repeat(may, n)
-            # Diagonals are counted from the item's length before the group, so that they are never negative. Band b has the
-            # strips b and b + 1.
-            strip = (where - c.place[which] + self.sizes[item]) // (self.edits[item] + 1) + 1
-            key = (item * n_docs + doc[where]) * wide + strip
-            strips, count = np.unique(key, return_counts=True)
-            bands, both = np.unique(np.concatenate((strips, strips - 1)), return_inverse=True)
-            both = np.bincount(both, weights=np.concatenate((count, count)), minlength=len(bands))
-            bands = bands[both >= self.least[bands // wide // n_docs]]
-            if not len(bands):
-                continue
-            # What the bound counts are places in the item: a q-gram that the text repeats counts once.
-            places = []
-            for back in (0, 1):
-                at = np.minimum(np.searchsorted(bands, key - back), len(bands) - 1)
-                mine = bands[at] == key - back
-                places.append(at[mine] * (int(self.sizes.max()) + 1) + c.place[which[mine]])
-            distinct = np.bincount(np.unique(np.concatenate(places)) // (int(self.sizes.max()) + 1), minlength=len(bands))
-            item_ = bands // wide // n_docs
-            ok = distinct >= self.least[item_]
-            item_, bands = item_[ok], bands[ok]
-            found.append((item_, (bands % wide - 1) * (self.edits[item_] + 1) - self.sizes[item_], bands // wide % n_docs))
-        return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+            item, where, place = c.item[which], np.repeat(may, n), c.place[which]
+            own = self.q[item] == c.q
+            found.append(self._bands(item[own], where[own], place[own], data, doc))
+            own = self.windows[item] > 0
+            if own.any() and self.q[self.first[item[own][0]]] == c.q:
+                found.append(self._bands(*self._in_windows(item[own], where[own], place[own], data, doc, c.q), data, doc))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+    def _strips(self, entry: np.ndarray, where: np.ndarray, place: np.ndarray, edits: np.ndarray, data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """The strip of each q-gram's diagonal as one number with entry and document, and what to take it apart by.
+
+        Diagonals are those of the item, also for its windows. They are counted from the item's length before the group, so
+        that they are never negative. Band b has the strips b and b + 1.
+        """
+        n_docs, wide = int(doc[-1]) + 1 if len(doc) else 1, len(data) + int(self.sizes.max()) + 4
+        return (entry * n_docs + doc[where]) * wide + (where - place + self.sizes[self.owner[entry]]) // (edits + 1) + 1, n_docs, wide
+
+    def _in_windows(self, item: np.ndarray, where: np.ndarray, place: np.ndarray, data: np.ndarray, doc: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The q-grams of items once for each window that has them, without those whose bands have too few for any window."""
+        window = self.first[item[0]]
+        key, _, _ = self._strips(item, where, place, self.edits[window], data, doc)
+        strips, own, count = np.unique(key, return_inverse=True, return_counts=True)
+        near = np.zeros(len(strips), dtype=np.int64)
+        beside = np.flatnonzero(np.diff(strips) == 1)
+        near[beside] = count[beside + 1]
+        near[beside + 1] = np.maximum(near[beside + 1], count[beside])
+        keep = (count + near >= self.least[window])[own]
+        item, where, place = item[keep], where[keep], place[keep]
+        last = self.windows[item] - 1
+        each = [(last, place >= self.start[self.first[item] + last])]
+        for back in range(-(-WINDOW // STRIDE) + 1):
+            k = place // STRIDE - back
+            each.append((k, (k >= 0) & (k < last) & (place - k * STRIDE <= WINDOW - q)))
+        windows = np.concatenate([(self.first[item] + k)[ok] for k, ok in each])
+        return windows, np.concatenate([where[ok] for _, ok in each]), np.concatenate([place[ok] for _, ok in each])
+
+    def _bands(self, entry: np.ndarray, where: np.ndarray, place: np.ndarray, data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n_docs, wide = self._strips(entry, where, place, self.edits[entry], data, doc)
+        strips, count = np.unique(key, return_counts=True)
+        bands, both = np.unique(np.concatenate((strips, strips - 1)), return_inverse=True)
+        both = np.bincount(both, weights=np.concatenate((count, count)), minlength=len(bands))
+        bands = bands[both >= self.least[bands // wide // n_docs]]
+        if not len(bands):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        # What the bound counts are places in the item: a q-gram that the text repeats counts once.
+        places = []
+        for back in (0, 1):
+            at = np.minimum(np.searchsorted(bands, key - back), len(bands) - 1)
+            mine = bands[at] == key - back
+            places.append(at[mine] * (int(self.sizes.max()) + 1) + place[mine])
+        distinct = np.bincount(np.unique(np.concatenate(places)) // (int(self.sizes.max()) + 1), minlength=len(bands))
+        entry_ = bands // wide // n_docs
+        ok = distinct >= self.least[entry_]
+        entry_, bands = entry_[ok], bands[ok]
+        return entry_, (bands % wide - 1) * (self.edits[entry_] + 1) - self.sizes[self.owner[entry_]] + self.start[entry_], bands // wide % n_docs
 
 
 def align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -185,21 +234,24 @@ def _find(index: Index, group: list[bytes]) -> Iterator[tuple[int, int, int, int
     doc = np.searchsorted(starts, origin, side="right") - 1
     bounds = np.searchsorted(doc, np.arange(len(group) + 1))
     with np.errstate(over="ignore"):
-        item, low, owner = index.candidates(data, doc)
+        entry, low, held = index.candidates(data, doc)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for j, d, o in sorted({*zip(item.tolist(), low.tolist(), owner.tolist(), strict=True)}, key=lambda x: (x[2], x[0], x[1])):
-        k, m = int(index.edits[j]), int(index.sizes[j])
+    whole: set[tuple[int, int]] = set()
+    for e, d, o in sorted({*zip(entry.tolist(), low.tolist(), held.tolist(), strict=True)}, key=lambda x: (x[2], x[0], x[1])):
+        j, k, m = int(index.owner[e]), int(index.edits[e]), int(index.sizes[e])
         a, b = int(bounds[o]), int(bounds[o + 1])
         # The band, and k diagonals on either side for edits before and after the q-grams; cut to the document.
-        if (o, j) in best and not best[o, j][0]:
+        # Items come before windows, which are looked at where the whole item is not held.
+        if (o, j) in best and (not best[o, j][0] or e != j and (o, j) in whole):
             continue
         lo = d - k - a
         from_ = max(0, lo)
         text = data[a + from_ : max(a + from_, min(b, d + 2 * (k + 1) + k + m))]
-        whole = text.tobytes().find(index.texts[j].tobytes())
-        edits, end = (0, whole + m) if whole >= 0 else align(text, index.texts[j], lo - from_, lo - from_ + 2 * (k + 1) + 2 * k)
+        same = text.tobytes().find(index.texts[e].tobytes())
+        edits, end = (0, same + m) if same >= 0 else align(text, index.texts[e], lo - from_, lo - from_ + 2 * (k + 1) + 2 * k)
         if edits <= k and ((o, j) not in best or edits < best[o, j][0]):
             start = max(0, end - m) + from_ + a
+            whole |= {(o, j)} if e == j else set()
             best[o, j] = edits, int(origin[min(start, b - 1)] - starts[o]), int(origin[max(a, from_ + a + end - 1)] + 1 - starts[o])
     for (o, j), (edits, s, e) in best.items():
         yield o, j, edits, s, e
@@ -239,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` that hold no item; passes as ``find_leaks``, each on what the one before kept."""
+    """The rows of ``docs`` that hold no item and no window of one; passes as ``find_leaks``, each on what the one before kept."""
     at = docs.columns.index("text")
     for items in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(items)

@@ -352,6 +352,45 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.filter("false")).count() == 0 and decontaminate.find_leaks(docs.filter("false"), bench).count() == 0
 
 
+def test_parts_of_items_by_force():
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh  ,.") for _ in range(n))
+    partly = 0
+    for _ in range(4):
+        item, docs = word(rng.randint(130, 300)), [word(200)]
+        for _ in range(6):
+            a = rng.randrange(len(item))
+            t = list(item[a : a + rng.randint(60, 200)])
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = word(rng.randint(0, 1))
+            docs.append(word(rng.randint(0, 90)) + "".join(t) + word(rng.randint(0, 90)))
+        p = fold(item).rstrip(b" ")
+        n = decontaminate.WINDOW
+        windows = [p[at : at + n] for at in {*range(0, len(p) - n, decontaminate.STRIDE), len(p) - n}] if len(p) > n else []
+        want = {}
+        for i, d in enumerate(docs):
+            whole = edits_by_force(p, fold(d))
+            part = min((edits_by_force(w, fold(d)) for w in windows), default=n)
+            if whole <= len(p) // 10 or part <= n // 10:
+                want[i] = whole if whole <= len(p) // 10 else part
+                partly += whole > len(p) // 10
+        assert {a: e for a, _, e, *_ in decontaminate.find_passages(decontaminate.Index([(1, item)], 0.1), docs)} == want
+    assert partly > 3
+
+
+def test_leaks_whose_middle_line_is_common(spark):
+    """Ten documents quote an item, so line dedup takes its middle line from all of them."""
+    line = lambda name: " ".join(f"{name} {i * i} {name[::-1]}" for i in range(8))
+    item = "\n".join(map(line, ("first", "middle", "last")))
+    docs = texts(spark, [(i, f"own {i} " + item + f" {i}") for i in range(10)] + [(10, "nothing of it")])
+    left = line_dedup.drop_common_lines(docs, min_docs=10)
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert left.filter(F.col("text").contains("middle")).count() == 0
+    assert {r.doc_id for r in decontaminate.find_leaks(left, bench).collect()} == set(range(10))
+    assert [r.doc_id for r in decontaminate.drop_leaks(left, bench).collect()] == [10]
+
+
 def test_benchmarks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     bench = spark.createDataFrame([(i, f"item number {i} has words of its own {i * 7919}") for i in range(12)], "item_id bigint, text string")
