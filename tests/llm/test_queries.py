@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+import bench
 import corpus_pipeline
 from orrery.llm import decontaminate, queries
 
@@ -54,3 +55,7 @@ def test_stages_take_no_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_bench_times_every_query():
+    assert sorted(bench.LLM) == sorted([*queries.queries(), "pipeline"])
