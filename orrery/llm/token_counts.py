@@ -137,7 +137,7 @@ class TokenCounter:
         self.library = pretokens.load(path)
         self.merges = MergeTable(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory = pretokens.Memory(self._count_chunks)
+        self.memory = pretokens.Memory(self._count_chunks, words=True)
         self.octet = {c: b for b, c in enumerate(byte_letters())}
 
     def _pieces(self, chunk: str) -> tuple[int, list[bytes]]:
@@ -159,7 +159,7 @@ class TokenCounter:
                 out += [bytes(map(self.octet.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) if w]
         return n, out
 
-    def _count_chunks(self, chunks: list[str]) -> list[int]:
+    def _count_chunks(self, chunks: list[str]) -> tuple[None, np.ndarray]:
         base = np.zeros(len(chunks), dtype=np.int64)
         words: list[bytes] = []
         sizes: list[int] = []
@@ -168,14 +168,14 @@ class TokenCounter:
             words += pieces
             sizes.append(len(pieces))
         np.add.at(base, np.repeat(np.arange(len(chunks)), sizes), self.merges.surviving(words))
-        return base.tolist()
+        return None, base
 
     def counts(self, column: pa.Array) -> list[int]:
         out: list[int] = []
         for group in pretokens.grouped(column):
-            cut = [pretokens.word_chunks(t) for t in group]
-            get = self.memory.table(cut).__getitem__
-            out += [sum(map(get, c)) for c in cut]
+            for entries, per_text, odd in self.memory.look_up(group, lambda t: int(self._count_chunks([t])[1][0])):
+                sums = np.concatenate(([0], np.cumsum(self.memory.count[entries])))[per_text]
+                out += [odd.get(i, n) for i, n in enumerate(np.diff(sums).tolist())]
         return out
 
 

@@ -24,7 +24,6 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +37,8 @@ from .common import new_folder, partitions, small_batches
 MAGIC = b"ORRYIDS1"
 TRAILER = struct.Struct("<6q")
 BLOCK = 1 << 16
+#: Chunks that the library encodes in one call.
+ROW = 256
 
 
 def width(vocabulary: int) -> int:
@@ -67,51 +68,76 @@ class Encoder:
     """Ids of texts as the library gives them without special tokens added, as little-endian unsigned 32-bit integers.
 
     ``words`` says whether the tokenizer drops white space (and lower-cases), or keeps it byte by byte. Chunks not seen yet
-    are encoded in a row, one call for many, and told apart by the bytes that their tokens stand for.
+    are encoded in rows, many in one call, and told apart by the bytes that their tokens stand for.
     """
 
     def __init__(self, path: str, words: bool = False) -> None:
         self.library, self.words = pretokens.load(path), words
-        self.chunks = pretokens.word_chunks if words else pretokens.byte_chunks
-        self.memory = pretokens.Memory(self._encode)
+        self.memory = pretokens.Memory(self._encode, words)
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
         vocab = self.library.get_vocab(with_added_tokens=False)
-        self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        #: One more than the largest id that the tokenizer can give.
+        self.vocabulary = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
+        self.sizes = np.zeros(self.vocabulary, dtype=np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token) - len(suffix) * (bool(suffix) and token.endswith(suffix))
 
-    def _plain(self, c: str) -> bool:
-        """Whether a chunk can be encoded in a row with others: no white space by itself, no special string, no change of length."""
-        return ("<|" not in c and (c.isascii() or unicodedata.is_normalized("NFC", c))) if self.words else c[-1] > " "
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if self._plain(c)]
-        own = [chunks[i] for i in plain]
-        lead = [not self.words and c[0] != " " for c in own]
-        text = " ".join(own) if self.words else "".join(f"\n{c}" if x else c for c, x in zip(own, lead, strict=True))
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4") if own else np.zeros(0, dtype="<u4")
-        ends = np.cumsum([len((c.lower() if self.words else c).encode()) + x for c, x in zip(own, lead, strict=True)])
-        reached = np.cumsum(self.sizes[np.minimum(ids, len(self.sizes) - 1)])
+    def _plain(self, c: str) -> bool:
+        """Whether a chunk can be encoded in a row with others: no white space at its end, no change of length."""
+        return (c.isascii() or unicodedata.is_normalized("NFC", c) and len(c.lower().encode()) == len(c.encode())) if self.words else c[-1] > " "
+
+    def _row(self, row: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of chunks encoded in a row; null if the tokens can't be told apart."""
+        lead = np.array([not self.words and c[0] != " " for c in row])
+        text = " ".join(row) if self.words else "".join([f"\n{c}" if x else c for c, x in zip(row, lead.tolist(), strict=True)])
+        ids = self._whole([text])[0]
+        ends = np.cumsum(np.array([len(c.encode()) for c in row]) + lead)
+        reached = np.cumsum(self.sizes[ids])
         last = np.searchsorted(reached, ends)
-        if own and len(reached) and reached[-1] == ends[-1] and (reached[last] == ends).all():
-            data, at = ids.tobytes(), 0
-            for i, end, x in zip(plain, (4 * last + 4).tolist(), lead, strict=True):
-                out[i] = data[at + 4 * x : end]
-                at = end
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+        if not len(reached) or reached[-1] != ends[-1] or (reached[last] != ends).any():
+            return None
+        begin = np.concatenate(([0], last[:-1] + 1))
+        keep = np.ones(len(ids), dtype=bool)
+        keep[begin[lead]] = False
+        return ids[keep], last + 1 - begin - lead
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[np.ndarray] = []
+        counts = np.zeros(len(chunks), dtype=np.int64)
+        order: list[int] = []
+        plain = [i for i, c in enumerate(chunks) if self._plain(c)]
+        alone = sorted(set(range(len(chunks))).difference(plain))
+        for at in range(0, len(plain), ROW):
+            own = plain[at : at + ROW]
+            if found := self._row([chunks[i] for i in own]):
+                out.append(found[0])
+                counts[own] = found[1]
+                order += own
+            else:
+                alone += own
+        for i, ids in zip(alone, self._whole([chunks[i] for i in alone]), strict=True):
+            out.append(ids)
+            counts[i] = len(ids)
+        order += alone
+        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *out])
+        # What was encoded out of order goes back to the order of the chunks.
+        first = np.zeros(len(chunks), dtype=np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        ends = np.cumsum(counts)
+        return flat[np.repeat(first - ends + counts, counts) + np.arange(len(flat))], counts
 
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column, in order; null counts as empty."""
         for group in pretokens.grouped(column):
-            cut = list(map(self.chunks, group))
-            get = self.memory.table(filter(None, cut)).__getitem__
-            for t, c in zip(group, cut, strict=True):
-                yield b"".join(map(get, c)) if c is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
+            for entries, per_text, odd in self.memory.look_up(group, lambda t: self._whole([t])[0]):
+                ids, ends = self.memory.ids_of(entries)
+                bounds, data = (4 * ends[per_text]).tolist(), ids.astype("<u4").tobytes()
+                for i in range(len(group)):
+                    yield odd[i].tobytes() if i in odd else data[bounds[i] : bounds[i + 1]]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -123,11 +149,18 @@ def encoder(path: str, words: bool = False) -> Encoder:
     return _ENCODERS[path, words]
 
 
+#: Schemes by which Spark and pyarrow name the same store.
+SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
-    """The filesystem and path that a URI, or a plain local path, names."""
+    """The filesystem and path that a URI, or a plain local path, names: those that pyarrow opens (file, hdfs, s3a, gs, abfss)."""
     import pyarrow.fs
 
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, _, rest = uri.partition("://")
+    if rest:
+        return pyarrow.fs.FileSystem.from_uri(f"{SAME_STORE.get(scheme, scheme)}://{rest}")
+    return pyarrow.fs.FileSystem.from_uri(uri if uri.startswith("file:") else f"file://{uri}")
 
 
 class Writer:
@@ -158,6 +191,8 @@ class Writer:
             self.waiting, self.have = [whole[full:].copy()], len(whole) - full
 
     def _write(self, ids: np.ndarray) -> None:
+        if int(ids.max()) >> self.bits:
+            raise ValueError(f"id {int(ids.max())} has more than {self.bits} bits")
         self.offsets.append(self.at)
         data = pack(ids, self.bits)
         self.out.write(data)
@@ -210,13 +245,16 @@ class Reader:
             i = j
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, folder: str | None = None) -> list[tuple[str, int]]:
-    """Writes the files, and returns the manifest: each file's URI and number of ids, in order. One entry a task."""
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int | None = None, folder: str | None = None) -> list[tuple[str, int]]:
+    """Writes the files, and returns the manifest: each file's URI and number of ids, in order. One entry a task.
+
+    ``vocabulary`` is one more than the largest id, by default of the tokenizer and ``end_id``; a larger id raises.
+    """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ids")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    bits, end = width(vocabulary), np.array([end_id], dtype=np.uint32)
+    bits, end = width(vocabulary or max(encoder(tokenizer).vocabulary, end_id + 1)), np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
