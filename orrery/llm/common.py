@@ -38,11 +38,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
@@ -76,3 +76,34 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(c: Column) -> Column:
     """``c`` with A-Z lower-cased and everything else as it is; ``lower`` does the same, and faster, where all is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
+
+
+#: A side of a join is broadcast up to so many bytes, as counted; beyond, the other side's rows of a key are dealt over so many tasks.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def joined(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column) -> DataFrame:
+    """``big`` joined with ``small``, which is staged and has one row for each key.
+
+    ``small`` is broadcast if its values, counted first, come to no more than ``BROADCAST_BYTES``. Otherwise ``spread``, a
+    column of ``big``, salts the join, so that a key with many of the rows is not one task's.
+    """
+    sizes = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.lit(16) if f.dataType.typeName() != "array" else F.octet_length(F.to_json(f.name)) for f in small.schema]
+    n_bytes = small.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(32)).cast("long"))).first()[0] or 0
+    if n_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
+    (salt,) = fresh(big, "__salt")
+    left = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, salt], how).drop(salt)
