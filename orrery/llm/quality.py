@@ -5,12 +5,15 @@ vector approximate a Gaussian kernel. Each partition sums its part of the normal
 and the driver solves one small system. Part of the labelled rows is held back from the fit and calibrates the raw scores:
 pool-adjacent-violators, then straight lines between the blocks' centres, so that ranks within a block stay.
 
-The fit uses at most about ``max_labels`` labelled rows, drawn by a hash of doc_id. Scoring is one pass without a shuffle.
+The fit uses at most about ``max_labels`` labelled documents and as many rows of theirs, drawn by hashes of doc_id and text.
+Sums run over rows in the order of these hashes, so the scores don't depend on the order of rows. Scoring is one pass
+without a shuffle.
 
 Defined results: a null or empty text has all-zero statistics and is scored as such. Labels that are null or neither 0 nor
-1 don't count; a document with several labels counts once for each; labels without a document don't count. With labels of
-one class or none, every score is the smoothed share of label 1. Rows with a null doc_id are scored, never learnt from and
-not held out. Repeated rows get the same score. An empty table gives an empty result.
+1 don't count; a document with several labels counts once for each; labels without a document don't count. Rows that
+repeat a doc_id and its text are learnt from once, those of other texts under that id too. Equal raw scores are calibrated
+together. With labels of one class or none, every score is the smoothed share of label 1. Rows with a null doc_id are
+scored, never learnt from and not held out. Repeated rows get the same score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,17 +97,19 @@ def features(m: Model, stats: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(2 / len(m.phase)) * np.cos(z @ m.projection + m.phase), z / np.sqrt(z.shape[1]), np.ones((len(z), 1))], axis=1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and levels of the blocks of the rising step function nearest to (x, y)."""
-    order = np.argsort(x, kind="stable")
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and levels of the blocks of the rising step function nearest to (x, y). Equal x are one point, so centres rise strictly."""
+    weight = np.ones(len(x)) if weight is None else weight
+    points, which = np.unique(x, return_inverse=True)
+    n = np.bincount(which, weights=weight)
     blocks: list[list[float]] = []  # sum of y, sum of x, n
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, a, 1])
+    for a, b, c in zip(points.tolist(), np.bincount(which, weights=weight * y).tolist(), n.tolist(), strict=True):
+        blocks.append([b, a * c, c])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
-            s, t, n = blocks.pop()
+            s, t, n_last = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += t
-            blocks[-1][2] += n
+            blocks[-1][2] += n_last
     return np.array([t / n for _, t, n in blocks]), np.array([s / n for s, _, n in blocks])
 
 
@@ -129,24 +134,44 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 40_000, n_features: int = 256, gamma: float = 0.05, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """``labels`` has doc_id and label; all of its rows may be learnt from. A quarter, by hash, calibrates."""
-    valid = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("label").cast("double").alias("label"))
+def _learnt(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int) -> DataFrame:
+    """key, n and good (its labels, and those of 1), held and stats of the rows that are learnt from, staged in order of key."""
+    valid = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.count("label").cast("double").alias("__n"), F.sum("label").cast("double").alias("__good"))
     n_labels = valid.count()
     if n_labels > max_labels:
         valid = valid.filter(F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1_000_000)) < int(950_000 * max_labels / n_labels))
-    # At most about max_labels rows of 16 bytes: that bounds the broadcast.
-    own = docs.select("doc_id", "text").join(F.broadcast(valid), F.col("doc_id") == F.col("__id")).select("text", "label", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(4)) == 0).alias("held"))
-    table = staged(_stats_frame(own, "label held", "label double, held boolean").repartition(ADDERS), "statistics")
+    # At most about max_labels rows of 24 bytes, one for each id: that bounds the broadcast.
+    met = docs.select("doc_id", "text").join(F.broadcast(valid), F.col("doc_id") == F.col("__id"))
+    held = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(4)) == 0
+    own = met.select("text", F.xxhash64(F.lit(seed + 2), "doc_id", "text").alias("key"), F.col("__n").alias("n"), F.col("__good").alias("good"), held.alias("held"))
+    made = _stats_frame(own, "key n good held", "key long, n double, good double, held boolean")
+    # Copies of a row are one: a row's statistics follow from its key.
+    rows = made.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "good", "held", "stats")])
+    table = staged(rows.repartition(ADDERS, "key").sortWithinPartitions("key"), "statistics")
+    if (n_rows := table.count()) > max_labels:
+        fewer = table.filter(F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.lit(1_000_000)) < int(950_000 * max_labels / n_rows))
+        small = staged(fewer.repartition(ADDERS, "key").sortWithinPartitions("key"), "statistics")
+        discard(table)
+        return small
+    return table
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 40_000, n_features: int = 256, gamma: float = 0.05, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """``labels`` has doc_id and label; all of its rows may be learnt from. A quarter, by hash, calibrates."""
+    table = _learnt(docs, labels, max_labels, seed)
     fitted = table.filter("not held")
     zero = np.zeros(0)
     flat = lambda p: Model(zero, zero, zero, zero, zero, np.array([0.0]), np.array([p]))
-    one = table.agg(F.count("label"), F.sum("label"), *(f(F.when(~F.col("held"), F.col("stats")[i])) for i in range(N_STATS) for f in (F.mean, F.stddev_pop))).first()
-    n, good = one[0], one[1] or 0.0
-    if not 0 < good < n or one[2] is None or fitted.agg(F.count_distinct("label")).first()[0] < 2:
+    kept = ~F.col("held")
+    one = table.agg(
+        F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.when(kept, F.col("n"))).alias("own_n"), F.sum(F.when(kept, F.col("good"))).alias("own_good"),
+        *(f(F.when(kept, F.col("stats")[i])) for i in range(N_STATS) for f in (F.mean, F.stddev_pop)),
+    ).first()
+    n, good = one.n or 0.0, one.good or 0.0
+    if not 0 < (one.own_good or 0) < (one.own_n or 0):
         discard(table)
         return flat((good + 1) / (n + 2))
-    mean, scale = np.array(one[2::2], dtype=float), np.array(one[3::2], dtype=float)
+    mean, scale = np.array(one[4::2], dtype=float), np.array(one[5::2], dtype=float)
     rng = np.random.default_rng(seed)
     # The kernel's width goes with the number of statistics, so gamma is for one of variance 1.
     m = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, np.sqrt(2 * gamma), (N_STATS, n_features)), rng.uniform(0, 2 * np.pi, n_features), zero, zero, zero)
@@ -156,18 +181,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 40_000, n_features
         total = np.zeros((d, d + 1))
         for b in batches:
             if b.num_rows:
-                x, y = features(m, _matrix(b)), b.column(b.schema.get_field_index("label")).to_numpy()
-                total += x.T @ np.concatenate([x, y[:, None]], axis=1)
+                x, w, y = features(m, _matrix(b)), b.column(0).to_numpy(), b.column(1).to_numpy()
+                total += x.T @ np.concatenate([w[:, None] * x, y[:, None]], axis=1)
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = fitted.select("label", "stats").coalesce(ADDERS).mapInArrow(sums, "part binary").collect()
+    parts = fitted.select("n", "good", "stats").coalesce(ADDERS).mapInArrow(sums, "part binary").collect()
     total = np.sum([np.frombuffer(p.part).reshape(d, d + 1) for p in parts], axis=0)
-    weights = np.linalg.solve(total[:, :d] + ridge * n * np.eye(d) / 10, total[:, d])
+    weights = solve(total[:, :d] + ridge * n * np.eye(d) / 10, total[:, d])
     m = Model(m.mean, m.scale, m.projection, m.phase, weights, zero, zero)
-    held = table.filter("held").select("label", "stats").toArrow()  # a quarter of max_labels rows
-    if held.num_rows and len(set(held["label"].to_pylist())) == 2:
+    held = table.filter("held").select("n", "good", "stats").toArrow()  # a quarter of max_labels rows
+    w, y = (held[c].to_numpy() for c in ("n", "good"))
+    if 0 < y.sum() < w.sum():
         x = np.asarray(held["stats"].combine_chunks().flatten()).reshape(-1, N_STATS)
-        raw, level = isotonic(features(m, x) @ weights, held["label"].to_numpy())
+        raw, level = isotonic(features(m, x) @ weights, y / w, w)
     else:
         raw, level = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     discard(table)
@@ -176,6 +202,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 40_000, n_features
     return Model(m.mean, m.scale, m.projection, m.phase, weights, np.concatenate([[raw[0] - wide], raw, [raw[-1] + wide]]), np.concatenate([[level[0] / 2], level, [(1 + level[-1]) / 2]]))
 
 
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with a x = b for a symmetric positive definite ``a``, by conjugate gradients, scaled by the diagonal.
+
+    Only products of the matrix with a vector, elementwise: a linear algebra library's own threads would wait for cores
+    that Spark's tasks hold.
+    """
+    scale = 1 / np.sqrt(np.diag(a))
+    a, b = a * scale * scale[:, None], b * scale
+    x, r = np.zeros(len(b)), b.copy()
+    p, now = r.copy(), float((r * r).sum())
+    end = 1e-28 * now
+    for _ in range(20 * len(b)):
+        if now <= end:
+            break
+        q = np.einsum("ij,j->i", a, p)
+        step = now / float((p * q).sum())
+        x += step * p
+        r -= step * q
+        before, now = now, float((r * r).sum())
+        p = r + now / before * p
+    return x * scale
+
+
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the score of ``text`` in the column ``name``, which replaces one of that name."""
     rest = [c for c in docs.columns if c != name]
