@@ -30,16 +30,15 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, component for every node with a link to another: the smallest node that it reaches. ``links`` has u and v, not null."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component for every node with a link to another: the smallest node that it reaches. ``links`` has u and v, not null.
+
+    The steps end by themselves: each brings nodes nearer to their smallest, and the first that changes nothing is the last.
+    """
     now = staged(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = _mark(now)
-    if not mark[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    mark, last = _mark(now), None
+    while mark[0] and mark != last:
         then, now = now, staged(_small_star(_large_star(now)), "links")
         discard(then)
         last, mark = mark, _mark(now)
-        if mark == last:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

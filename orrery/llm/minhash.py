@@ -9,10 +9,14 @@
    the largest group already joined and the rest. Buckets with the same largest group are put together; there the rest is
    compared with all others, in blocks of bounded size that numpy compares as arrays. A group joined already is never
    compared within itself, and only found links leave a task.
+   Where the rest is over ``DENSE``, as when boilerplate puts many different texts in one bucket, the group is split first
+   by prefix filtering: a linked pair shares one of the rarest shingles of either, so members meet only under shingles that
+   are among their own rarest and that another member has. What they share with all costs nothing then, and only members
+   whose similarity comes near to the threshold still meet in numbers.
 4. Links give components; a document's is its class's.
 
 With 32 bands of 4 rows a pair at a similarity of 0.85 shares no bucket with a probability of 5e-11 (0.8: 5e-8), and
-``miss`` adds at most its own; every link reported is exact.
+``miss`` adds at most its own; every link reported is of whole sets of 64-bit shingle hashes.
 
 Defined results: a text that is null, empty or blank has no shingles, is linked with nothing and is kept. Rows that repeat
 a doc_id are one document, linked to all that any of its texts is linked to. Rows with a null doc_id take no part: their
@@ -36,6 +40,8 @@ from .shingles import mix, shingle_sets
 
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 256
+#: A group whose members not joined are more than so many is split by prefix filtering.
+DENSE = 1024
 #: Signatures are compared in batches of so many rows.
 BATCH = 16
 
@@ -202,7 +208,7 @@ def _shared(head: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray
 def _block_links(rows: list[tuple], rule: Rule, least: list[int]) -> list[tuple[int, int]]:
     """Links between two blocks of members, or within one: a spanning set, given the groups joined already.
 
-    A row is (main, i, j, side, rep, label, sig, text). Side 0 and 1 are the blocks i and j; with i == j all are on side 0.
+    A row is (group, i, j, side, rep, label, sig, text). Side 0 and 1 are the blocks i and j; with i == j all are on side 0.
     """
     left = [r for r in rows if r[3] == 0]
     right = [r for r in rows if r[3] == 1] or left
@@ -302,17 +308,49 @@ def _rest_links(shared: DataFrame, reps: DataFrame, texts: DataFrame, links: Dat
     split = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
     # Buckets whose largest group is the same are handled as one: copies share many buckets, and so meet once.
     met = staged(members.join(split.select("bucket", F.col("top.label").alias("main")), "bucket").select("main", "rep", "label").distinct(), "met")
+    return _compared(staged(_groups(met, texts, rule), "groups"), reps, texts, rule)
+
+
+def _groups(met: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """group, rep, label, main: groups in which all pairs of different labels are to be compared, from main, rep, label."""
+    rest = F.col("label") != F.col("main")
+    size = met.groupBy("main").agg(F.sum(rest.cast("int")).alias("n")).filter(F.col("n") > DENSE).select("main")
+    plain = met.join(size, "main", "left_anti").select(F.col("main").alias("group"), "rep", "label", "main")
+    dense = met.join(size, "main", "left_semi")
+    if size.isEmpty():
+        return plain
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s.astype(np.int64) for s in shingle_sets(b.column(1).to_pylist(), rule.k)]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))], ["rep", "tokens"])
+
+    own = texts.join(dense.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
+    # A repeated doc_id can have several sets.
+    sets = staged(own.mapInArrow(run, "rep long, tokens array<long>").withColumn("which", F.xxhash64("tokens")), "tokens")
+    tokens = dense.join(sets, "rep").select("main", "rep", "label", "which", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("main", "token").agg(F.count("rep").alias("df"))
+    # Sets linked at a share of t have ceil(t * size) shingles in common at least, so one of the rest and one more is common.
+    prefix = (F.col("size") - F.ceil(F.col("size") * rule.percent / 100 - 1e-9) + 1).cast("int")
+    rarest = tokens.join(counted, ["main", "token"]).groupBy("main", "rep", "label", "which", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("sorted"))
+    posts = rarest.select("main", "rep", "label", F.explode(F.slice("sorted", F.lit(1), prefix)).alias("x")).filter("x.df > 1")
+    return plain.union(posts.select(F.xxhash64("main", "x.token").alias("group"), "rep", "label", "main"))
+
+
+def _compared(groups: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links between members of a group whose labels differ."""
     blocks = lambda c: F.greatest(F.ceil(F.sum(c.cast("int")) / BLOCK), F.lit(1)).cast("int")
     rest = F.col("label") != F.col("main")
-    sized = met.groupBy("main").agg(blocks(~rest).alias("n_main"), blocks(rest).alias("n_rest"))
+    sized = groups.groupBy("group").agg(blocks(~rest).alias("n_main"), blocks(rest).alias("n_rest"), F.count_distinct("label").alias("n")).filter("n > 1").drop("n")
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     # Blocks of the rest are 0 to n_rest - 1, those of the largest group follow.
     at = F.when(rest, own(F.col("n_rest"))).otherwise(own(F.col("n_main")) + F.col("n_rest"))
     others = F.sequence(F.lit(0), F.when(rest, F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
-    sent = met.join(sized, "main").withColumn("at", at).select("main", "rep", "label", "at", F.explode(others).alias("to"))
-    dealt = sent.select("main", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), F.when(F.col("at") <= F.col("to"), 0).otherwise(1).alias("side"), "rep", "label")
-    loaded = dealt.join(reps.select("rep", "sig"), "rep").join(texts, "rep").select("main", "i", "j", "side", "rep", "label", "sig", "text")
-    ready = loaded.repartition(partitions(shared.sparkSession), "main", "i", "j").sortWithinPartitions("main", "i", "j")
+    sent = groups.join(sized, "group").withColumn("at", at).select("group", "rep", "label", "at", F.explode(others).alias("to"))
+    dealt = sent.select("group", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), F.when(F.col("at") <= F.col("to"), 0).otherwise(1).alias("side"), "rep", "label")
+    loaded = dealt.join(reps.select("rep", "sig"), "rep").join(texts, "rep").select("group", "i", "j", "side", "rep", "label", "sig", "text")
+    ready = loaded.repartition(partitions(groups.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
     least = rule.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

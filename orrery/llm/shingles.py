@@ -6,32 +6,20 @@ words, each once; a text of fewer words has the hash of the whole sequence; one
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240917)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 #: Texts are handled in groups of about so many bytes.
 GROUP = 1 << 20
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below ``n`` at least."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(2 * GROUP, n)
-        with np.errstate(over="ignore"):
-            step = np.full(size, base, dtype=np.uint64)
-            step[0] = 1
-            have = _powers[base] = np.multiply.accumulate(step)
-    return have[:n]
+#: Longer words are hashed one by one, by a digest.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,13 +28,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: eight bytes at a time are added to a state that is mixed after each, its length first.
+
+    ``data`` has 8 bytes more than the words. Unlike a polynomial in the bytes this has no word pairs that always collide.
+    """
+    size = ends - starts
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(left):
+        out[left] = mix((out[left] ^ (eight[starts[left] + done] & _MASK[np.minimum(size[left] - done, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def _group(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    data = _LOWER[np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)]
     blank = _BLANK[data]
-    edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(blank, np.uint64(0), _BYTE[data]) * _power(_BASE, len(data)), dtype=np.uint64)))
-    words = mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data))[starts])
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edge = edge if blank[0] else np.concatenate(([0], edge))
+    starts, ends = edge[::2], edge[1::2]
+    words = word_hashes(data, starts, ends)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
     grams = words.copy()
