@@ -56,13 +56,11 @@ FROM moves GROUP BY conv_id
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048)
-    return packing.pack(cut, length=2048)
+    return packing.read_pieces(packing.sequences(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048))
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_ids.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
-    return token_ids.read_ids(spark, files)
+    return token_ids.read_ids(spark, token_ids.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2))
 
 
 #: Three words, and 100 * intersection >= 85 * union.
@@ -82,10 +80,14 @@ RULES = (
 )
 
 
+#: Public suffixes of two labels that the query knows.
+LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the ``quality`` of the label whose doc_id is the page_id."""
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), labels, RULES, threshold=0.5, z=1.645)
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), labels, RULES, threshold=0.5, z=1.645, long_suffixes=LONG_SUFFIXES)
 
 
 OP5_SQL = f"""
@@ -94,9 +96,11 @@ WITH own AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), outcomes AS (
   SELECT doc_id AS page_id, count(quality) AS n, sum(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+), parted AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM own
 ), hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-    coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM own LEFT JOIN outcomes USING (page_id) GROUP BY host
+  SELECT host, CASE WHEN array_to_string(l[-2:], '.') IN {LONG_SUFFIXES} THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+    CASE WHEN array_to_string(l[-2:], '.') IN {LONG_SUFFIXES} THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+    coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM parted LEFT JOIN outcomes USING (page_id) GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL
 ), overall AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p0 FROM suffixes
@@ -132,7 +136,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ann.build(read_table(spark, sf_dir, "embeddings"))
-    return ann.search(index, index.filter(F.col("vec_id") % 50 == 0), k=5)
+    return ann.search(index, index.rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
