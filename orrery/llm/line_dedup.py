@@ -2,8 +2,9 @@
 
 Lines are exploded with their positions, normalised and hashed to 128 bits; distinct documents are counted by hash;
 lines of hashes over the threshold go, and the others are joined again by position. Texts are read twice but only
-shuffled once, when each meets the positions it loses; in between only hashes, ids and positions move, and a frequent
-line is a join key whose counted side is one row.
+shuffled once, when each meets the positions it loses; in between only hashes, ids and positions move. Distinct documents
+are counted by line and document first. Lines meet the table of common ones by a broadcast if it is small, and otherwise
+salted by document, so a line that most documents have is no single task's.
 
 Defined results: a null or empty text is one empty line. A document is a doc_id: rows that repeat one count once, and all
 rows with a null doc_id together count as one document. Each row keeps its own result, repeated rows alike. An empty
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, staged
+from .common import BLANKS, ascii_lower, fresh, joined, staged
 
 
 def lines_of(text: Column) -> Column:
@@ -38,16 +39,18 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
 
     A line goes when its key has at least ``min_chars`` code points and occurs in at least ``min_docs`` documents.
     """
-    digest = F.xxhash64(F.lit(3), "text").alias("__row")
-    lines = docs.select(F.col("doc_id").alias("__doc"), digest, F.posexplode(lines_of(F.col("text"))).alias("__pos", "__line"))
-    keyed = lines.select("__doc", "__row", "__pos", line_key(F.col("__line")).alias("__key")).filter(F.char_length("__key") >= min_chars)
-    hashed = staged(keyed.select("__doc", "__row", "__pos", F.xxhash64(F.lit(1), "__key").alias("__h1"), F.xxhash64(F.lit(2), "__key").alias("__h2")), "lines")
-    found = F.count_distinct("__doc") + F.max(F.col("__doc").isNull().cast("int"))
-    common = hashed.groupBy("__h1", "__h2").agg(found.alias("__n")).filter(F.col("__n") >= min_docs).select("__h1", "__h2")
-    lost = hashed.join(common, ["__h1", "__h2"]).groupBy("__doc", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__lost"))
-    own = docs.withColumn("__at", F.xxhash64(F.lit(3), "text"))
-    met = own.join(lost, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__row")), "left").drop("__doc", "__row", "__at")
+    docs = docs.drop("__n_lines", "__n_dropped")
+    lines = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.lit(3), "text").alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    keyed = lines.select("doc", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+    hashed = staged(keyed.select("doc", "row", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")), "lines")
+    found = F.count_distinct("doc") + F.max(F.col("doc").isNull().cast("int"))
+    common = staged(hashed.groupBy("h1", "h2").agg(found.alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "common")
+    hits = joined(hashed, common, ["h1", "h2"], "inner", F.struct("doc", "row"))
+    doc, row, at, lost, kept = fresh(docs, "__doc", "__row", "__at", "__lost", "__kept")
+    lose = hits.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(lost))
+    own = docs.withColumn(at, F.xxhash64(F.lit(3), "text"))
+    met = own.join(lose, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(at) == F.col(row)), "left").drop(doc, row, at)
     split = lines_of(F.col("text"))
-    kept = F.when(F.col("__lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(split, F.col("__lost")), "\n"))
-    out = met.withColumns({"__n_lines": F.size(split).cast("long"), "__n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"), "__kept": kept})
-    return out.withColumn("text", F.col("__kept")).drop("__kept", "__lost")
+    text = F.when(F.col(lost).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(split, F.col(lost)), "\n"))
+    out = met.withColumns({"__n_lines": F.size(split).cast("long"), "__n_dropped": F.coalesce(F.size(lost), F.lit(0)).cast("long"), kept: text})
+    return out.withColumn("text", F.col(kept)).drop(kept, lost)
