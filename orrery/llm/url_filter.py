@@ -4,7 +4,12 @@ Labelled page outcomes (1 good, 0 bad) are counted by host, registered domain an
 level has a beta prior whose mean is the posterior mean of the level above and whose weight is fitted to that level by
 the method of moments for the beta-binomial. A page is allowed when a lower bound of its host's posterior reaches a
 threshold; hosts without labels fall back to their domain's, suffix's or the overall prior. All of it is DataFrame
-expressions; pages are counted before anything is shuffled, so one host with a third of the rows is one row.
+expressions. Hosts and their outcomes are counted once, by partial sums, and written; levels, and the rules that fit a host,
+are tables over hosts. Pages meet the hosts' table by a broadcast if it is small, and otherwise salted by page, so one host
+with a third of the rows is no single task's.
+
+The suffix is a host's last label, or the last two if they are among ``long_suffixes``; the registered domain has one
+label more. A port is no part of either.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the empty
 host's reputation. Repeated page rows are judged each, and count each. Labels of a page that differ all count. Labels
@@ -19,10 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
-#: Rules are compiled into one expression, so their number is bounded.
-MAX_RULES = 2000
+from .common import ascii_lower, joined, staged
 
 
 @dataclass(frozen=True)
@@ -47,18 +49,26 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The site of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules; give larger lists as labels")
-    out = F.when(F.lit(False), F.lit(""))
-    for r in sorted(rules, key=lambda r: (-len(r.site), r.site)):
-        out = out.when(((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path)), F.lit(r.site))
-    return out
+def host_rules(hosts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``hosts`` (host, one row each) with ``rules``: those whose host it is or is under, the longest site first, as an array of site, path, verdict.
+
+    Of rules with one site the first counts. Hosts' parents are looked up by a join, so any number of rules will do.
+    """
+    first = {r.site: r for r in reversed(rules)}
+    kind = "array<struct<size:int,site:string,path:string,verdict:string>>"
+    if not first:
+        return hosts.withColumn("rules", F.array().cast(kind))
+    table = hosts.sparkSession.createDataFrame([(r.host, r.site, r.path, r.verdict) for r in first.values()], "parent string, site string, path string, verdict string")
+    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "\\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    fits = hosts.select("host", F.explode(F.array_distinct(parents)).alias("parent")).join(table, "parent")
+    # Sorted by size from the largest, then by site.
+    own = fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.char_length("site")).alias("size"), "site", "path", "verdict"))).alias("rules"))
+    return hosts.join(own, "host", "left").withColumn("rules", F.coalesce("rules", F.array().cast(kind)))
 
 
 def _levels(host: Column, long_suffixes: Sequence[str]) -> tuple[Column, Column]:
-    """Registered domain and suffix. The suffix is the last label, or the last two if they are one of ``long_suffixes``."""
+    """Registered domain and suffix."""
+    host = F.regexp_replace(host, ":[0-9]*$", "")
     last2 = F.substring_index(host, ".", -2)
     two = last2.isin(*long_suffixes) if long_suffixes else F.lit(False)
     return F.when(two, F.substring_index(host, ".", -3)).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
@@ -76,17 +86,21 @@ def _weight(units: DataFrame, prior: str) -> DataFrame:
     return units.agg(F.coalesce(1 / rho - 1, F.lit(10.0)).alias("weight"))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, long_suffixes: Sequence[str] = (), base: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """host, good_a, good_b for each host of ``pages``: the parameters of the beta posterior of its share of good pages.
+def host_counts(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """host, n, good: each host of ``pages`` with its labelled outcomes. ``pages`` has page_id and host, ``labels`` page_id and good (0 or 1)."""
+    valid = labels.filter(F.col("good").isin(0, 1)).groupBy("page_id").agg(F.count("good").alias("n"), F.sum("good").alias("good"))
+    none = F.lit(0).cast("long")
+    # Hosts of all pages, and outcomes of the labelled ones; both sums are partial before they are shuffled.
+    both = pages.select("host", none.alias("n"), none.alias("good")).union(pages.join(valid, "page_id").select("host", "n", "good"))
+    return both.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
 
-    ``pages`` has page_id and host, ``labels`` page_id and good (0 or 1).
-    """
-    valid = labels.filter(F.col("good").isin(0, 1)).groupBy("page_id").agg(F.count("good").alias("l_n"), F.sum("good").alias("l_good"))
-    seen = pages.join(valid, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("l_n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("l_good"), F.lit(0)).cast("double").alias("good"))
+
+def host_reputation(seen: DataFrame, long_suffixes: Sequence[str] = (), base: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """host, good_a, good_b for each host of ``seen`` (host, n, good): the parameters of the beta posterior of its share of good pages."""
     domain, suffix = _levels(F.col("host"), long_suffixes)
     hosts = seen.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good")
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    domains = total(hosts, "domain", "suffix")
+    domains = staged(total(hosts, "domain", "suffix"), "domains")
     suffixes = total(domains, "suffix")
     overall = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + base[0]) / (F.coalesce(F.sum("n"), F.lit(0.0)) + sum(base))).alias("p0"))
 
@@ -110,11 +124,9 @@ def posterior_bound(a: Column, b: Column, z: float) -> Column:
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (), threshold: float = 0.5, z: float = 1.645, long_suffixes: Sequence[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, bound: ``allow`` or ``block`` by the rule, else by whether ``bound`` reaches ``threshold``."""
     own = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = host_reputation(own, labels, long_suffixes).select("host", F.round(posterior_bound(F.col("good_a"), F.col("good_b"), z), 9).alias("bound"))
-    rule = matched_rule(F.col("host"), F.col("path"), rules)
-    by_rule = F.when(F.lit(False), F.lit(""))
-    for r in rules:
-        by_rule = by_rule.when(F.col("rule") == r.site, F.lit(r.verdict))
-    judged = own.withColumn("rule", rule).join(known, "host", "left")
+    seen = staged(host_counts(own, labels), "hosts")
+    bound = F.round(posterior_bound(F.col("good_a"), F.col("good_b"), z), 9).alias("bound")
+    known = staged(host_rules(host_reputation(seen, long_suffixes).select("host", bound), rules), "reputation")
+    judged = joined(own, known, ["host"], "left", F.struct("page_id", "path")).withColumn("fits", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)))
     by_host = F.when(F.col("bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce(by_rule, by_host).alias("verdict"), "bound")
+    return judged.select("page_id", "host", "path", F.col("fits.site").alias("rule"), F.coalesce("fits.verdict", by_host).alias("verdict"), "bound")
