@@ -1,19 +1,20 @@
 """Chat formatting: conversations to training texts with a loss mask, by a declarative template and a state machine over roles.
 
-All of it is DataFrame expressions. A conversation's turns are put in order of (turn, role, text), so repeated rows and
-ties stay and have one place each. The result of ``format_chats`` has, for each conversation, the formatted text and its
+All of it is DataFrame expressions, linear in a conversation's length. A conversation's turns are put in order of (turn, role,
+text), so repeated rows and ties stay and have one place each. The result of ``format_chats`` has, for each conversation, the formatted text and its
 segments; a segment is a span of code points of that text with a loss flag. ``read_chats`` goes the other way.
 
 Defined results: a null text or role counts as empty; rows with a null conv_id form one conversation; rows with a null
 turn come first; an unknown role is formatted without loss and makes the conversation invalid; an empty table gives an
-empty result; further columns are ignored. One conversation is one output text, so it must fit in one cell (2 GB).
+empty result; further columns are ignored. One conversation is one output text, so it must
+fit in one cell (2 GB at four bytes a code point).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,36 +76,29 @@ def _end_state(turns: Column, t: ChatTemplate) -> Column:
 def format_chats(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     """conv_id, n_turns, valid, formatted, segments (array of start, length, loss), in code points from 0."""
     t = template
-    turns = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-
-    def pieces(turn: Column) -> Column:
-        piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(
-            piece(F.concat(F.lit(t.open), _header(turn["role"], t), F.lit("\n")), F.lit(False)),
-            piece(escaped(turn["text"], t), turn["role"].isin(*t.loss_roles)),
-            piece(F.lit(t.close), F.lit(False)),
-        )
-
-    parts = chats.select(
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    turns = rows.select("conv_id", "turn", role, text)
+    head = F.concat(F.lit(t.open), _header(F.col("role"), t), F.lit("\n"))
+    parts = turns.select("conv_id", "turn", "role", "text", head.alias("head"), escaped(F.col("text"), t).alias("body"))
+    n_head, n_body, n_close = F.char_length("head").cast("long"), F.char_length("body").cast("long"), F.lit(len(t.close)).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(n_head + n_body + n_close).over(before), F.lit(0).cast("long"))
+    placed = parts.select("conv_id", start.alias("start"), "role", F.concat("head", "body", F.lit(t.close)).alias("piece"), n_head.alias("head"), n_body.alias("body"))
+    # A turn's start orders it: no turn is empty, so starts differ.
+    chats = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "role", "piece", "head", "body"))).alias("turns"))
+
+    def spans(turn: Column) -> Column:
+        span = lambda at, n, loss: F.struct(at.alias("start"), n.alias("length"), loss.alias("loss"))
+        body = turn["start"] + turn["head"]
+        return F.array(span(turn["start"], turn["head"], F.lit(False)), span(body, turn["body"], turn["role"].isin(*t.loss_roles)), span(body + turn["body"], n_close, F.lit(False)))
+
+    return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.coalesce(_end_state(F.col("turns"), t).isin(*t.final), F.lit(False)).alias("valid"),
-        F.flatten(F.transform("turns", pieces)).alias("pieces"),
+        F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("formatted"),
+        F.flatten(F.transform("turns", spans)).alias("segments"),
     )
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>").alias("done"))
-
-    def span(state: Column, length_and_loss: Column) -> Column:
-        n = length_and_loss["n"]
-        one = F.array(F.struct(state["at"].alias("start"), n.alias("length"), length_and_loss["loss"].alias("loss")))
-        return F.struct((state["at"] + n).alias("at"), F.concat(state["done"], one).alias("done"))
-
-    lengths = F.transform("pieces", lambda p: F.struct(F.char_length(p["text"]).cast("long").alias("n"), p["loss"].alias("loss")))
-    return parts.select(
-        "conv_id", "n_turns", "valid",
-        F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate(lengths, empty, span, lambda s: s["done"]).alias("segments"),
-    )
 
 
 def read_chats(chats: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
@@ -121,5 +115,11 @@ def read_chats(chats: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
             unescaped(F.substr(inner, line + 1), t).alias("text"),
         )
 
-    learnt = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")), t))
-    return chats.select("conv_id", "valid", "formatted", F.transform(bodies, turn).alias("turns"), F.array_join(learnt, "").alias("loss_text"))
+    def learnt(wide: Column) -> Column:
+        """The text of each segment under the mask, cut from four bytes a code point: any place is reached at once."""
+        cut = lambda s: F.decode(F.substr(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32")
+        return F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(cut(s), t))
+
+    # The array holds the wide text, so that it is made once and not for each segment.
+    texts = F.flatten(F.transform(F.array(F.encode("formatted", "UTF-32")), learnt))
+    return chats.select("conv_id", "valid", "formatted", F.transform(bodies, turn).alias("turns"), F.array_join(texts, "").alias("loss_text"))
