@@ -11,7 +11,9 @@ that size, ``STRIDE`` bytes apart and one at its end, each with an edit budget a
 ``WINDOW + STRIDE - 1`` bytes of the item has one in full, and at a rate of 0.1 a run of ``WINDOW`` bytes is within the
 budget of one. Shorter runs can go unreported.
 
-Texts are never shuffled: the benchmark goes to the documents, in blocks of bounded size with one pass each.
+Texts are never shuffled: the benchmark goes to the documents, in blocks of bounded size with one pass each. A text is
+looked at in parts where it meets the items in very many places, down to a few times the longest item; beyond that only
+an item that repeats itself, met by its like, takes memory with the square of its length.
 
 Defined results: a null or empty text holds nothing. Items that are null or have no letter or digit match nothing. Items
 too short for the bound at q = 8 have a shorter q, down to 1, so that the bound stays positive. Repeated documents and
@@ -22,6 +24,7 @@ that is the window with the fewest edits; edits and place are the window's.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ STRIDE = 20
 BLOCK_BYTES = 8 << 20
 #: Texts are handled in groups of about so many bytes.
 GROUP = 1 << 20
+#: Pairs of a place in the text and one in an item that are looked at in one go; a text with more is halved.
+PAIRS = 4 << 20
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 for _b in range(256):
@@ -124,14 +130,26 @@ class Index:
         return _Class(q, keys, np.append(first, len(codes)), item[order], place[order], seen)
 
     def candidates(self, data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entry, first diagonal and document of each band that meets the bound. ``doc`` is the document of each place."""
-        found = []
+        """Entry, first diagonal and document of each band that meets the bound. ``doc`` is the document of each place.
+
+        Text and items that repeat the same q-grams meet in very many pairs of places. Such a text is taken in halves, which
+        overlap by the longest stretch that an item can take up, so that each stretch lies in one of them.
+        """
+        met = []
         for c in self.classes:
             codes = grams(data, c.q)
             may = np.flatnonzero(c.seen[_slot(codes)])
             at = np.minimum(np.searchsorted(c.keys, codes[may]), len(c.keys) - 1)
             hit = c.keys[at] == codes[may]
-            may, at = may[hit], at[hit]
+            met.append((c, may[hit], at[hit]))
+        reach = int((self.sizes + self.edits).max()) + Q
+        if sum(int((c.first[at + 1] - c.first[at]).sum()) for c, _, at in met) > PAIRS and len(data) > 4 * reach:
+            middle = len(data) // 2
+            left = self.candidates(data[: middle + reach], doc[: middle + reach])
+            entry, low, held = self.candidates(data[middle:], doc[middle:])
+            return tuple(np.concatenate(x) for x in zip(left, (entry, low + middle, held), strict=True))
+        found = []
+        for c, may, at in met:
             n = c.first[at + 1] - c.first[at]
             which = np.repeat(c.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
             item, where, place = c.item[which], np.repeat(may, n), c.place[which]
@@ -257,6 +275,17 @@ def _find(index: Index, group: list[bytes]) -> Iterator[tuple[int, int, int, int
         yield o, j, edits, s, e
 
 
+_last: tuple[str, Index] | None = None
+
+
+def _index(sent: Broadcast, token: str, rate: float) -> Index:
+    """The index of a block of items, made once in a worker."""
+    global _last
+    if _last is None or _last[0] != token:
+        _last = token, Index(sent.value, rate)
+    return _last[1]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in blocks of about ``BLOCK_BYTES``, one at a time on the driver."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
@@ -275,10 +304,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
     names = ["doc_id", "item_id", "n_edits", "start_byte", "end_byte"]
 
     def one(items: list[tuple[int | None, str | None]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, rate)
+            index = _index(sent, token, rate)
             for b in batches:
                 ids = b.column(0).to_pylist()
                 rows = [(ids[i], index.ids[j], *more) for i, j, *more in find_passages(index, b.column(1).to_pylist())]
@@ -294,10 +323,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
     """The rows of ``docs`` that hold no item and no window of one; passes as ``find_leaks``, each on what the one before kept."""
     at = docs.columns.index("text")
     for items in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(sent, token, rate)
             for b in batches:
                 held = {i for i, *_ in find_passages(index, b.column(at).to_pylist())}
                 yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_())) if held else b
