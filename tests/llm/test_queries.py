@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import bench
 import corpus_pipeline
@@ -51,6 +52,20 @@ def test_stages(spark, small):
         docs = after
 
 
+def test_one_row_of_a_group_stays(spark, small):
+    """Repeated ids, repeated rows and rows without an id, with a column of a clashing name."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).withColumn("__quality", F.lit("own"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    one = docs.limit(3)
+    nameless = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
+    more = docs.unionByName(one).unionByName(one.withColumn("text", F.lit("another text of this id, long enough for shingles"))).unionByName(nameless).unionByName(nameless)
+    want = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, small).collect()}
+    got = corpus_pipeline.keep_distinct(spark, more, small)
+    rows = [r.doc_id for r in got.collect()]
+    assert got.columns == docs.columns and rows.count(None) == 2 and len(rows) == len(set(rows)) + 1 and set(rows) - {None} <= want
+    assert corpus_pipeline.keep_quality(spark, docs, small).columns == docs.columns
+
+
 def test_stages_take_no_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
