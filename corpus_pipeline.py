@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, line_dedup, minhash, packing, quality
-from orrery.llm.common import read_table, staged
+from orrery.llm.common import fresh, read_table, staged
 from orrery.llm.queries import tokenizer_file
 
 #: Documents with a lower score are rejected.
@@ -21,7 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a score of ``LEAST_QUALITY`` or more, by a classifier fitted on the labels of the documents at hand."""
     labels = read_table(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id")) != 0).select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs, labels)
-    return quality.score(docs, model, "__quality").filter(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+    (score,) = fresh(docs, "__quality")
+    return quality.score(docs, model, score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, a similarity of 0.8."""
+    """One document of each group of near copies: five words, a similarity of 0.8.
+
+    Rows that repeat a doc_id are one document, of which one row stays: the first in order of its columns. Rows without a
+    doc_id have no group; of those that are alike in all columns one stays.
+    """
     found = minhash.near_duplicates(docs, minhash.Rule(k=5, percent=80))
-    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*columns)
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = staged(again, "repeated")
+    is_repeated = kept["doc_id"].eqNullSafe(again["doc_id"])
+    repeated = kept.join(again, is_repeated, "left_semi")
+    rows = repeated.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.join(again, is_repeated, "left_anti").unionByName(rows).unionByName(repeated.filter(F.col("doc_id").isNull()).distinct())
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +58,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their places in sequences of 2048."""
-    return packing.pack(packing.pieces(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048), length=2048)
+    """Writes padded sequences of 2048 ids, and gives the pieces read back from them."""
+    return packing.read_pieces(packing.sequences(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048))
 
 
 STAGES = [
