@@ -589,29 +589,31 @@ class DataFrame(Frame):
         if sort:
             raise NotImplementedError("the result of a join has no order")
         as_list = lambda x: [x] if not isinstance(x, list) else x
-        named = lambda f, tag: f._plan().drop(ORDER).toDF(*[f"__{tag}{i}" for i in range(len(f._rows.index))], *[n for n, _ in f._columns])
-        l, r = named(self, "li"), named(right, "ri")
-        lk = [f"__li{i}" for i in range(len(self._rows.index))] if left_index else as_list(left_on if on is None else on) if (left_on is not None or on is not None) else None
-        rk = [f"__ri{i}" for i in range(len(right._rows.index))] if right_index else as_list(right_on if on is None else on) if (right_on is not None or on is not None) else None
+        # Labels travel under names that no column of either side begins with.
+        mark = "__"
+        while any(str(n).startswith(f"{mark}label") for f in (self, right) for n, _ in f._columns):
+            mark += "_"
+        tags = [[f"{mark}label_{side}{i}" for i in range(len(f._rows.index))] for side, f in (("l", self), ("r", right))]
+        named = lambda f, own: f._plan().drop(ORDER).toDF(*own, *[n for n, _ in f._columns])
+        l, r = named(self, tags[0]), named(right, tags[1])
+        lk = tags[0] if left_index else as_list(left_on if on is None else on) if (left_on is not None or on is not None) else None
+        rk = tags[1] if right_index else as_list(right_on if on is None else on) if (right_on is not None or on is not None) else None
         if lk is None or rk is None:
-            lk = rk = [c for c in l.columns if c in r.columns and not c.startswith("__")]
+            lk = rk = [n for n, _ in self._columns if n in right]
             if not lk:
                 raise ValueError("no common columns to merge on")
         labelled = left_index and right_index
-        if not left_index:
-            l = l.drop(*[f"__li{i}" for i in range(len(self._rows.index))])
-        if not right_index:
-            r = r.drop(*[f"__ri{i}" for i in range(len(right._rows.index))])
+        l = l if left_index else l.drop(*tags[0])
+        r = r if right_index else r.drop(*tags[1])
+        labels = [f"{mark}label_{i}" for i in range(len(lk))] if labelled else []
         if labelled:
-            names = [f"__i{i}" for i in range(len(lk))]
-            out = joins.merge(l.withColumnsRenamed(dict(zip(lk, names, strict=True))), r.withColumnsRenamed(dict(zip(rk, names, strict=True))), how, on=names, suffixes=suffixes, method=method)
+            out = joins.merge(l.withColumnsRenamed(dict(zip(lk, labels, strict=True))), r.withColumnsRenamed(dict(zip(rk, labels, strict=True))), how, on=labels, suffixes=suffixes, method=method)
         elif lk == rk:
             out = joins.merge(l, r, how, on=lk, suffixes=suffixes, method=method)
         else:
-            out = joins.merge(l, r, how, left_on=lk, right_on=rk, suffixes=suffixes, method=method)
-            out = out.drop(*[c for c in out.columns if c.startswith(("__li", "__ri"))])
-        data = [c for c in out.columns if not c.startswith("__i")]
-        plan = out.select(*[c for c in out.columns if c.startswith("__i")], *[quoted(c).alias(f"c{i}") for i, c in enumerate(data)])
+            out = joins.merge(l, r, how, left_on=lk, right_on=rk, suffixes=suffixes, method=method).drop(*tags[0], *tags[1])
+        data = [c for c in out.columns if c not in labels]
+        plan = out.select(*[quoted(c).alias(f"__i{i}") for i, c in enumerate(labels)], *[quoted(c).alias(f"c{i}") for i, c in enumerate(data)])
         return DataFrame(Rows(plan, self._rows.index if labelled else ()), [(n, F.col(f"c{i}")) for i, n in enumerate(data)])
 
     def join(self, other: Any, on: Any = None, how: str = "left", lsuffix: str = "", rsuffix: str = "") -> DataFrame:
