@@ -52,7 +52,8 @@ def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] =
     if total == 0:
         return F.lit(0)
     drawn = keys if total <= SAMPLE else keys.filter(F.pmod(F.xxhash64(*[quoted(c) for c in by]), F.lit(-(-total // SAMPLE))) == 0)
-    rows = drawn.distinct().orderBy(*ordering(by, ascending, na_position)).limit(4 * SAMPLE).collect()
+    # About SAMPLE different keys at most: a key is drawn by its hash, however often it comes.
+    rows = drawn.distinct().orderBy(*ordering(by, ascending, na_position)).collect()
     n = min(n, max(1, total // 2000))
     bounds = [tuple(rows[len(rows) * i // n]) for i in range(1, n)] if len(rows) >= n else [tuple(r) for r in rows[1:]]
 
