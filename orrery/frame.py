@@ -189,7 +189,7 @@ class Frame:
         fits = lambda k: k == "string" if isinstance(value, str) else k == "boolean" if isinstance(value, bool) else k in NUMBERS
         return self._map(lambda c, k: F.coalesce(c, F.lit(value).cast(k)) if fits(k) else c)
 
-    def sort_index(self, level: Any = None, ascending: bool | Sequence[bool] = True, na_position: str = "last", ignore_index: bool = False) -> Frame:
+    def sort_index(self, level: Any = None, ascending: bool | Sequence[bool] = True, na_position: str = "last", ignore_index: bool = False, kind: Any = None) -> Frame:
         at = self._rows.labels if level is None else [f"__i{i}" for i in self._level(level)]
         if not at:
             raise ValueError("these rows have no labels")

@@ -16,8 +16,6 @@ from ..operators.projection import quoted
 #: What counts as missing, true and false in every file.
 NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TRUE, FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
-#: Rows of the first file that types are inferred from where none are given.
-PEEK = 1000
 
 
 def _value(c: Column, kind: str, na: Sequence[str], true: Sequence[str], false: Sequence[str], date: bool) -> Column:
@@ -91,8 +89,9 @@ def read_csv(
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(len(labels), len(first)))])
     options = {"sep": sep, "quote": quotechar, "escape": quotechar if doublequote else "\\", "header": has_header and not skiprows, "mode": "PERMISSIVE", "enforceSchema": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False}
     raw = spark.read.schema(schema).options(**options).csv(paths)
-    if skip_blank_lines:
-        raw = raw.filter(F.coalesce(*[F.col(c) for c in raw.columns]).isNotNull())
+    # The reader drops blank lines itself; a row of empty fields is a row. With one column the two are the same.
+    if skip_blank_lines and len(raw.columns) == 1:
+        raw = raw.filter(F.col(raw.columns[0]).isNotNull())
     if skiprows or skipfooter or nrows is not None:
         raw = _lines(raw, paths, skiprows + (has_header and skiprows > 0), skipfooter, nrows)
     dates = list(range(len(labels))) if parse_dates is True else [labels.index(d) if isinstance(d, str) else d for d in (parse_dates or [])]
@@ -132,20 +131,19 @@ def _lines(raw: DataFrame, paths: Sequence[str], skip: int, foot: int, nrows: in
 
 
 def _inferred(raw: DataFrame, n: int, na: Sequence[str], booleans: Sequence[str]) -> list[str]:
-    """bigint, double, boolean or string for each column, from the first rows."""
-    rows = raw.limit(PEEK).collect()
+    """bigint, double, boolean or string for each column, from all rows: one row of counts comes to the driver."""
+    if not n:
+        return []
+    counts = []
+    for i in range(n):
+        c = F.when(~quoted(raw.columns[i]).isin(list(na)), F.trim(quoted(raw.columns[i])))
+        counts += [F.count(x).alias(f"x{i}_{k}") for k, x in enumerate((c, c.try_cast("bigint"), c.try_cast("double"), F.when(c.isin(list(booleans)), 1)))]
+    row = raw.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
     out = []
     for i in range(n):
-        values = [r[i].strip() for r in rows if r[i] is not None and r[i] not in na]
-
-        def fits(make, values=values) -> bool:
-            try:
-                return bool(values) and all(make(v) is not None for v in values)
-            except ValueError:
-                return False
-
-        whole = len(values) == len(rows)
-        out.append("boolean" if values and all(v in booleans for v in values) else "bigint" if fits(int) and whole else "double" if not values or fits(float) else "string")
+        values, whole, doubles, truths = (row[f"x{i}_{k}"] for k in range(4))
+        # Integers can't be missing; a column with nothing but missing values is one of doubles.
+        out.append("boolean" if values and truths == values else "bigint" if values and whole == values == row["rows"] else "double" if doubles == values else "string")
     return out
 
 

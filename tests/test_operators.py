@@ -207,3 +207,16 @@ def test_unions(spark, t):
     assert not sets.equals(t, t.withColumn("k", F.col("k").cast("bigint"))).first()[0]
     with pytest.raises(ValueError):
         sets.concat_rows([])
+
+
+def test_columns_side_by_side(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "y")], "i int, a string")
+    b = spark.createDataFrame([(None, 2.0), (1, 1.0)], "i int, b double")
+    assert values(sets.concat_columns([a, b], ["i"]), "i", "a", "b") == sorted([(1, "x", 1.0), (None, "y", 2.0)], key=repr)
+    with pytest.raises(Exception, match="row labels differ"):
+        sets.concat_columns([a, b.filter("i = 1")], ["i"]).collect()
+
+
+def test_large_floor_quotients(spark):
+    for x, y in ((1e300, 3.0), (-1e20, 7.0), (9.5, -2.0), (2.0**53 + 2, 1.0)):
+        assert one(spark, arithmetic.floordiv(lit(x, "double"), lit(y, "double"), False)) == (x / y if abs(x / y) >= 2**53 else x // y)

@@ -110,3 +110,12 @@ def test_memory(spark):
     assert values(memory.from_dict(spark, {"a": [1, 2], "b": 0})) == [(1, 0), (2, 0)]
     assert memory.to_arrow(memory.from_arrow(spark, pa.table({"a": [1]}))).to_pydict() == {"a": [1]}
     assert memory.to_numpy(memory.from_dict(spark, {"a": [1, 2]})).tolist() == [[1], [2]]
+
+
+def test_types_are_inferred_from_all_rows(spark, tmp_path):
+    rows = [f"{i},{i},True,{i}.5,," for i in range(3000)] + ["late,1.5,2,x,,", ",,,,,"]
+    (tmp_path / "a.csv").write_text("a,b,c,d,e,f\n" + "\n".join(rows) + "\n\n1,2,True,y,,7\n")
+    got = csv.read_csv(spark, str(tmp_path / "a.csv"))
+    assert [t for _, t in got.dtypes] == ["string", "double", "string", "string", "double", "double"]
+    # The row of empty fields stays; the blank line goes.
+    assert got.count() == 3003 and got.filter("a is null and b is null and c is null and d is null").count() == 1
