@@ -40,8 +40,9 @@ from .shingles import mix, shingle_sets
 
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 256
-#: A group whose members not joined are more than so many is split by prefix filtering.
-DENSE = 1024
+#: A group whose members not joined are more than so many is split by prefix filtering. In blocks each of n members comes
+#: n / BLOCK times, by prefixes once for each rare shingle that it shares, so a few thousand members are cheaper in blocks.
+DENSE = 8192
 #: Signatures are compared in batches of so many rows.
 BATCH = 16
 
