@@ -1,8 +1,8 @@
 """Row order: opt-in positions, stable sorts, head, tail, slices by position and by label.
 
 A table has no order of its own. ``with_rowid`` numbers rows by order columns from 0, densely, in two steps that never put
-all rows in one task: rows are dealt to ranges whose bounds come from a bounded sample, numbered within a range, and the
-ranges' sizes, one row each, give the offsets. Order columns should identify rows; ties are numbered in any order.
+all rows in one task: rows are dealt to ranges whose bounds come from a sample, numbered within a range, and the ranges'
+sizes, one row each, give the offsets. Order columns should identify rows; ties are numbered in any order, in one range.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .projection import quoted
 
 ROWID = "__rowid"
-#: Values drawn for the bounds of ranges, and ranges.
-SAMPLE, RANGES = 20_000, 256
+#: Ranges, unless a range had fewer than LEAST rows or more than ROWS, and rows drawn for the bound of each.
+RANGES, LEAST, ROWS, DRAWN = 256, 2000, 4_000_000, 40
 
 
 def ordering(by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last") -> list[Column]:
@@ -30,40 +30,41 @@ def ordering(by: Sequence[str], ascending: bool | Sequence[bool] = True, na_posi
     return [(quoted(c).asc_nulls_last() if last else quoted(c).asc_nulls_first()) if u else (quoted(c).desc_nulls_last() if last else quoted(c).desc_nulls_first()) for c, u in zip(by, up, strict=True)]
 
 
-def _before(names: Sequence[str], up: Sequence[bool], last: bool, bound: Sequence[object]) -> Column:
-    """Whether a row comes before ``bound`` in the order."""
+def _before(names: Sequence[str], up: Sequence[bool], last: bool, bound: Column) -> Column:
+    """Whether a row comes before ``bound``, a struct k0, k1, ... of a row's keys, in the order."""
     out = F.lit(False)
-    for c, u, v in reversed(list(zip(names, up, bound, strict=True))):
-        col = quoted(c)
-        if v is None:
-            less, same = (col.isNotNull() if last else F.lit(False)), col.isNull()
-        else:
-            less = F.coalesce(col < F.lit(v) if u else col > F.lit(v), F.lit(not last))
-            same = F.coalesce(col == F.lit(v), F.lit(False))
-        out = less | (same & out)
+    for i, (c, u) in reversed(list(enumerate(zip(names, up, strict=True)))):
+        col, v = quoted(c), bound[f"k{i}"]
+        less = F.when(v.isNull(), col.isNotNull() if last else F.lit(False)).otherwise(F.coalesce(col < v if u else col > v, F.lit(not last)))
+        out = less | (col.eqNullSafe(v) & out)
     return out
 
 
-def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", n: int = RANGES) -> Column:
-    """The number of the range, from 0, that a row falls in; ranges follow one another in the order. Draws a bounded sample."""
+def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last") -> Column:
+    """The number of the range, from 0, that a row falls in; ranges follow one another in the order.
+
+    Ranges grow in number with the table. Bounds come from a sample of rows, in proportion to the ranges, and are looked up by
+    halving, so that the plan holds them once. Any bounds give right results; a sample's only give even ranges.
+    """
     up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
-    keys = df.select(*[quoted(c) for c in by])
+    keys = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(by)])
     total = keys.count()
-    if total == 0:
+    n = min(max(RANGES, -(-total // ROWS)), total // LEAST)
+    if n < 2:
+        return F.lit(0)
+    drawn = keys.sample(min(1.0, n * DRAWN / total), seed=0)
+    rows = drawn.orderBy(*ordering(keys.columns, up, na_position)).collect()
+    kept = list(dict.fromkeys(rows[len(rows) * i // n] for i in range(1, n))) if rows else []
+    if not kept:
         return F.lit(0)
-    drawn = keys if total <= SAMPLE else keys.filter(F.pmod(F.xxhash64(*[quoted(c) for c in by]), F.lit(-(-total // SAMPLE))) == 0)
-    # About SAMPLE different keys at most: a key is drawn by its hash, however often it comes.
-    rows = drawn.distinct().orderBy(*ordering(by, ascending, na_position)).collect()
-    n = min(n, max(1, total // 2000))
-    bounds = [tuple(rows[len(rows) * i // n]) for i in range(1, n)] if len(rows) >= n else [tuple(r) for r in rows[1:]]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, keys.schema, strict=True)]) for r in kept])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(kept).bit_length()))])
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_before(by, up, na_position == "last", bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def passed(at: Column, step: Column) -> Column:
+        there = (at + step <= len(kept)) & ~_before(by, up, na_position == "last", F.get(bounds, at + step - 1))
+        return F.when(there, at + step).otherwise(at)
 
-    return tree(0, len(bounds))
+    return F.aggregate(steps, F.lit(0), passed)
 
 
 def with_rowid(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", name: str = ROWID) -> DataFrame:
@@ -73,7 +74,7 @@ def with_rowid(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool
     before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*ordering(by, ascending, na_position))) - 1
-    # At most RANGES rows.
+    # A row for each range.
     return placed.withColumn("__within", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__first") + F.col("__within")).drop("__range", "__within", "__first")
 
 
