@@ -493,7 +493,7 @@ def delinquency_style_etl(spark, sf_dir):
     first = lambda least, name: aggregate.groupby(per.filter(F.col("v") >= least).select("id", F.col("d").alias(name)), ["id"], "min")
     late = join.merge(join.merge(per, first(100000, "d30"), "left", on="id"), first(300000, "d90"), "left", on="id")
     late = late.withColumn("m", F.year("d") * 12 + F.month("d"))
-    months = [late.withColumn("y", F.lit(y).cast("bigint")).withColumn("bucket", F.floor((F.col("m") - 1 - y) / 12.0)) for y in range(12)]
-    buckets = sets.concat_rows([aggregate.groupby(x, ["id", "y", "bucket"], {"v": "max", "d30": "min", "d90": "min"}) for x in months])
+    months = late.withColumn("y", F.explode(F.array(*[F.lit(y).cast("bigint") for y in range(12)]))).withColumn("bucket", F.floor((F.col("m") - 1 - F.col("y")) / 12.0))
+    buckets = aggregate.groupby(months, ["id", "y", "bucket"], {"v": "max", "d30": "min", "d90": "min"})
     out = aggregate.groupby(buckets, ["y", "bucket"], {"id": "count", "v": "sum", "d30": "count", "d90": "count"})
     return rounded(out.toDF("y", "bucket", "n", "v", "n30", "n90"), 2)
