@@ -371,8 +371,8 @@ class Frame:
         csv.to_csv(plan, path, sep=sep, na_rep=na_rep, header=header, line_terminator=line_terminator, partition=partition)
 
     def to_parquet(self, path: str, compression: str | None = "snappy", index: bool = True, partition_cols: Sequence[Any] | None = None) -> None:
-        plan = self.to_spark()
-        parquet.to_parquet(plan if index else plan.select(*plan.columns[len(self._rows.index) :]), path, compression, partition_cols=partition_cols)
+        plan, n = self.to_spark(), len(self._rows.index)
+        parquet.to_parquet(parquet.mark_labels(plan, self._rows.index) if index else plan.select(*plan.columns[n:]), path, compression, partition_cols=partition_cols)
 
     # Locators
 
@@ -971,7 +971,12 @@ def from_spark(plan: Plan, index: Sequence[str] = (), order_by: Sequence[str] =
 
 
 def read_parquet(path: Any, columns: Sequence[str] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
-    return from_spark(parquet.read_parquet(session(), path, columns), order_by=order_by)
+    """Row labels come back where the files tell which columns hold them, also beside ``columns``."""
+    labels = parquet.row_labels(session(), path)
+    index = [c for c, _ in labels]
+    own = None if columns is None else [*index, *[c for c in columns if c not in index]]
+    out = from_spark(parquet.read_parquet(session(), path, own), index, order_by)
+    return DataFrame(replace(out._rows, index=tuple(n for _, n in labels)), out._columns)
 
 
 def read_csv(path: Any, index_col: Any = None, order_by: Sequence[str] = (), **options: Any) -> DataFrame:

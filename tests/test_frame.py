@@ -188,6 +188,18 @@ def test_files(df, pdf, tmp_path):
         of.read_parquet(str(tmp_path / "p")).head()
 
 
+def test_parquet_labels(spark, tmp_path):
+    p = pd.DataFrame({"k": [2, 1], "v": [1.5, 2.5]}, index=pd.MultiIndex.from_tuples([("a", 1), ("b", 2)], names=["name", None]))
+    of.from_spark(spark.createDataFrame(p.rename_axis(["name", "level"]).reset_index())).set_index(["name", "level"]).to_parquet(str(tmp_path / "own"))
+    back = of.read_parquet(str(tmp_path / "own"), columns=["v"])
+    assert back._rows.index == ("name", "level") and sorted(map(tuple, back.to_spark().collect())) == [("a", 1, 1.5), ("b", 2, 2.5)]
+    p.to_parquet(tmp_path / "two.parquet")
+    back = of.read_parquet(str(tmp_path / "two.parquet"))
+    assert back._rows.index == ("name", None) and sorted(map(tuple, back.to_spark().collect())) == [("a", 1, 2, 1.5), ("b", 2, 1, 2.5)]
+    p.reset_index(drop=True).to_parquet(tmp_path / "range.parquet")
+    assert of.read_parquet(str(tmp_path / "range.parquet"))._rows.index == ()
+
+
 def test_scalars(spark):
     assert of.series([True]).bool() is True and int(of.series([3])) == 3 and of.frame({"a": [1]}).squeeze() == 1
     with pytest.raises(ValueError):
