@@ -145,3 +145,13 @@ def drop_label(df: DataFrame, index: str, label: object) -> DataFrame:
 def range_index(df: DataFrame, by: Sequence[str], start: int = 0, step: int = 1, name: str = "index") -> DataFrame:
     """``df`` with labels start, start + step, ... in the order ``by``."""
     return with_rowid(df, by).withColumn(name, F.lit(start) + F.lit(step) * F.col(ROWID)).drop(ROWID)
+
+
+def category_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
+    """``df`` with the place of each value among the column's distinct values, sorted, from 0; NULL stays NULL.
+
+    The dictionary is a joined table, so it may have any size.
+    """
+    words = df.select(quoted(column).alias("__word")).filter(F.col("__word").isNotNull()).distinct()
+    numbered = with_rowid(words, ["__word"], name="__code")
+    return df.join(numbered, quoted(column) == F.col("__word"), "left").withColumn(name, F.col("__code").cast("int")).drop("__word", "__code")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic, casts, datetimes, missing, strings
+from ..operators import order
 from .catalog import query, rounded, table
 
 
@@ -117,7 +118,7 @@ def dt_fields(spark, sf_dir):
 FROM (SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS p FROM orders)""")
 def cat_codes(spark, sf_dir):
     t = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", F.nullif("o_orderpriority", F.lit("3-MEDIUM")).alias("p"))
-    return t.select("o_orderkey", casts.codes(F.col("p"), casts.categories(t, "p")).alias("code"))
+    return order.category_codes(t, "p").select("o_orderkey", "code")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN o_orderstatus END AS c FROM orders")

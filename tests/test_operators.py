@@ -220,3 +220,22 @@ def test_columns_side_by_side(spark):
 def test_large_floor_quotients(spark):
     for x, y in ((1e300, 3.0), (-1e20, 7.0), (9.5, -2.0), (2.0**53 + 2, 1.0)):
         assert one(spark, arithmetic.floordiv(lit(x, "double"), lit(y, "double"), False)) == (x / y if abs(x / y) >= 2**53 else x // y)
+
+
+def test_category_codes(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("w"), F.lpad((F.col("id") * 7919 % 9001).cast("string"), 5, "0"))).alias("word"))
+    rows = order.category_codes(df, "word").collect()
+    place = {w: i for i, w in enumerate(sorted({r.word for r in rows if r.word is not None}))}
+    assert len(rows) == 30_000 and all(r.code == place.get(r.word) for r in rows)
+    assert order.category_codes(df.filter("id < 0"), "word").collect() == []
+
+
+def test_more_ranges_in_larger_tables(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS", 10)
+    monkeypatch.setattr(order, "LEAST", 5)
+    df = spark.range(6000).select(F.when(F.col("id") % 3 != 0, F.col("id").cast("double")).alias("k"), "id")
+    placed = df.select("k", "id", order.ranges(df, ["k", "id"], [False, True]).alias("r"))
+    sizes = [r["count"] for r in placed.groupBy("r").count().collect()]
+    assert len(sizes) > 400 and max(sizes) < 100
+    rows = sorted(placed.collect(), key=lambda x: (x.k is None, -(x.k or 0), x.id))
+    assert [x.r for x in rows] == sorted(x.r for x in rows)
