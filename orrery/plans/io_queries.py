@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import frame as of
 from ..sources import csv, parquet
 from .catalog import query, table
 
@@ -55,3 +56,33 @@ def parquet_roundtrip_projection(spark, sf_dir):
     at = folder(spark)
     parquet.to_parquet(table(spark, sf_dir, "supplier"), at)
     return parquet.read_parquet(spark, at, columns=["s_suppkey", "s_acctbal"])
+
+
+@query("SELECT n_name, n_nationkey FROM nation")
+def parquet_labels_roundtrip(spark, sf_dir):
+    """Labels are found again beside the columns asked for."""
+    at = folder(spark)
+    of.from_spark(table(spark, sf_dir, "nation", "n_name", "n_nationkey", "n_regionkey")).set_index("n_name").to_parquet(at)
+    return of.read_parquet(at, columns=["n_nationkey"]).to_spark()
+
+
+@query("SELECT p_size, p_partkey FROM part")
+def csv_usecols_gzip(spark, sf_dir):
+    """Two columns of a compressed file, by name and by place."""
+    at = folder(spark)
+    csv.to_csv(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size"), at, partition=True, compression="gzip")
+    return csv.read_csv(spark, at, usecols=["p_partkey", "p_size"]).select("p_size", "p_partkey")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > (SELECT min(s_suppkey) + 2 FROM supplier) AND s_suppkey < (SELECT max(s_suppkey) FROM supplier)")
+def csv_skiprows_skipfooter(spark, sf_dir):
+    t, at = table(spark, sf_dir, "supplier", "s_suppkey", "s_name").orderBy("s_suppkey"), folder(spark)
+    csv.to_csv(t, at, header=False)
+    return csv.read_csv(spark, at, names=["s_suppkey", "s_name"], dtype={"s_suppkey": "int64", "s_name": "string"}, skiprows=3, skipfooter=1)
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def csv_index_col(spark, sf_dir):
+    at = folder(spark)
+    csv.to_csv(table(spark, sf_dir, "customer", "c_nationkey", "c_custkey", "c_acctbal"), at, partition=True)
+    return of.read_csv(at, index_col="c_custkey").to_spark()
