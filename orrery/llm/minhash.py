@@ -306,9 +306,10 @@ def _rest_links(shared: DataFrame, reps: DataFrame, texts: DataFrame, links: Dat
     labels = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select(F.col("u").alias("rep"), F.coalesce("mm", "m").alias("label"))
     members = shared.filter("n > 2 and rep <> a").join(labels, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
     by_label = members.groupBy("bucket", "label").agg(F.count("rep").alias("c"))
-    split = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("top.c < all")
+    # Written, so that the join below reads two plain shuffles and Spark can split a hot bucket.
+    split = staged(by_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("top.c < all").select("bucket", F.col("top.label").alias("main")), "split")
     # Buckets whose largest group is the same are handled as one: copies share many buckets, and so meet once.
-    met = staged(members.join(split.select("bucket", F.col("top.label").alias("main")), "bucket").select("main", "rep", "label").distinct(), "met")
+    met = staged(members.join(split, "bucket").select("main", "rep", "label").distinct(), "met")
     return _compared(staged(_groups(met, texts, rule), "groups"), reps, texts, rule)
 
 
