@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import DataFrame as Plan
 from pyspark.sql import functions as F
@@ -360,6 +361,10 @@ class Frame:
     def to_arrow(self) -> Any:
         return memory.to_arrow(self.to_spark())
 
+    def __arrow_c_stream__(self, requested_schema: Any = None) -> Any:
+        """Export to any library that imports Arrow's C stream; row labels come first."""
+        return self.to_arrow().__arrow_c_stream__(requested_schema)
+
     def __repr__(self) -> str:
         part = self.head(10) if self._rows.ordered else self._with(self._plan().limit(10))
         return repr(part.to_pandas())
@@ -953,6 +958,15 @@ def from_pandas(data: Any) -> Any:
     return (Series if one else DataFrame)(rows, [(n, F.col(f"c{i}")) for i, n in enumerate(names)])
 
 
+def from_interchange(data: Any) -> DataFrame:
+    """A frame of the columns that another library exports, in their order, labelled by position."""
+    table = memory.read_interchange(data)
+    at = pa.array(range(len(table)), pa.int64())
+    own = pa.Table.from_arrays([at, at, *table.columns], ["__i0", ORDER, *[f"c{i}" for i in range(table.num_columns)]])
+    rows = Rows(memory.from_arrow(session(), own), (None,), True)
+    return DataFrame(rows, [(n, F.col(f"c{i}")) for i, n in enumerate(table.column_names)])
+
+
 def frame(data: Any = None, index: Any = None, columns: Any = None, dtype: Any = None) -> DataFrame:
     """A data frame from what pandas makes one of."""
     return from_pandas(pd.DataFrame(data, index=index, columns=columns, dtype=dtype))

@@ -86,3 +86,9 @@ def csv_index_col(spark, sf_dir):
     at = folder(spark)
     csv.to_csv(table(spark, sf_dir, "customer", "c_nationkey", "c_custkey", "c_acctbal"), at, partition=True)
     return of.read_csv(at, index_col="c_custkey").to_spark()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def interchange_roundtrip(spark, sf_dir):
+    columns = of.from_spark(table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey"))
+    return of.from_interchange(columns).to_spark().select("n_nationkey", "n_name", "n_regionkey")

@@ -119,3 +119,35 @@ def test_types_are_inferred_from_all_rows(spark, tmp_path):
     assert [t for _, t in got.dtypes] == ["string", "double", "string", "string", "double", "double"]
     # The row of empty fields stays; the blank line goes.
     assert got.count() == 3003 and got.filter("a is null and b is null and c is null and d is null").count() == 1
+
+
+class Foreign:
+    """An object with one protocol only."""
+
+    def __init__(self, name, data):
+        setattr(type(self), name, lambda self, *a, **k: getattr(data, name)(*a, **k))
+
+
+@pytest.mark.parametrize("name", ["__arrow_c_stream__", "__dataframe__"])
+def test_import_by_protocol(spark, name):
+    kind = type("Foreign", (Foreign,), {})
+    data = kind(name, pd.DataFrame({"a": [1, 2, 3], "b": [1.5, np.nan, 2.5], "c": ["x", None, "z"], "u": np.array([1, 2, 255], dtype="uint8")}))
+    df = memory.from_interchange(spark, data)
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "smallint"]
+    assert values(df) == [(1, 1.5, "x", 1), (2, None, None, 2), (3, 2.5, "z", 255)]
+
+
+def test_import_of_odd_columns(spark):
+    table = pa.table({"d": pa.array(["x", None, "x"]).dictionary_encode(), "u": pa.array([2**64 - 1, 0, None], pa.uint64()), "n": pa.nulls(3)})
+    assert values(memory.from_interchange(spark, table)) == sorted([("x", 2**64 - 1, None), (None, 0, None), ("x", None, None)], key=repr)
+    assert memory.from_interchange(spark, pa.table({"a": pa.array([], pa.int32())})).count() == 0
+    with pytest.raises(TypeError):
+        memory.from_interchange(spark, object())
+
+
+def test_frames_are_imported_and_exported(spark):
+    from orrery import frame as of
+
+    got = of.from_interchange(pa.table({"k": [3, 1, 2], "s": ["c", "a", None]}))
+    assert got.to_pandas()["k"].tolist() == [3, 1, 2] and got.to_pandas().index.tolist() == [0, 1, 2]
+    assert pa.table(got[["s"]])["s"].to_pylist() == ["c", "a", None]
