@@ -15,12 +15,11 @@ packed as null. An empty table gives no sequences. Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, partitions, small_batches, staged
@@ -167,23 +166,18 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048,
         if out:
             yield made()
 
-    done = staged(dealt.mapInArrow(run, "sequence_id long, n_tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"), "sequences", "zstd")
+    with small_batches(docs.sparkSession):
+        done = staged(dealt.mapInArrow(run, "sequence_id long, n_tokens long, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"), "sequences", "zstd")
     discard(table)
     return done
 
 
 def read_pieces(packed: DataFrame) -> DataFrame:
     """doc_id, start, length, ids_crc32 (of the ids read back), doc_tokens, sequence_id and offset of each piece of ``sequences``."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (p["doc_id"], p["start"], p["length"], zlib.crc32(ids[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), p["doc_tokens"], sequence, p["offset"])
-                for sequence, ids, own in zip(*[c.to_pylist() for c in b.columns], strict=True)
-                for p in own
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    def read(p: Column) -> Column:
+        own = F.substring("ids", (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+        return F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(own).alias("ids_crc32"), p["doc_tokens"].alias("doc_tokens"), p["offset"].alias("offset"))
 
-    return packed.select("sequence_id", "ids", "pieces").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = packed.select("sequence_id", F.explode(F.transform("pieces", read)).alias("p"))
+    return rows.select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
