@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, staged
+from .common import discard, partitions, small_batches, staged
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -45,6 +45,8 @@ BLOCK = 256
 DENSE = 8192
 #: Signatures are compared in batches of so many rows.
 BATCH = 16
+#: Values of sets that are compared at a time with one set; a longer set is compared alone.
+VALUES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -192,18 +194,25 @@ def _signature_check(rule: Rule) -> tuple[Callable, Callable]:
 def _exact_check(rule: Rule) -> tuple[Callable, Callable]:
     def check(head: np.ndarray, members: list[np.ndarray]) -> list[bool]:
         sizes = np.array([len(m) for m in members])
-        shared = _shared(head, np.concatenate(members), sizes)
+        shared = _shared(head, members)
         return rule.linked(shared, len(head), sizes).tolist()
 
     return check, lambda loads: list(shingle_sets(loads, rule.k))
 
 
-def _shared(head: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of ``head`` with sets that lie one after another in ``flat``."""
-    at = np.minimum(np.searchsorted(head, flat), max(0, len(head) - 1))
-    hit = np.concatenate(([0], np.cumsum(head[at] == flat))) if len(head) else np.zeros(len(flat) + 1, dtype=np.int64)
-    ends = np.cumsum(sizes)
-    return hit[ends] - hit[ends - sizes]
+def _shared(head: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of ``head`` with each of ``sets``, which are laid side by side up to ``VALUES`` at a time."""
+    out, first = [], 0
+    while first < len(sets):
+        n, last = len(sets[first]), first + 1
+        while last < len(sets) and n + len(sets[last]) <= VALUES:
+            n, last = n + len(sets[last]), last + 1
+        flat, ends = np.concatenate(sets[first:last]), np.cumsum([len(s) for s in sets[first:last]])
+        at = np.minimum(np.searchsorted(head, flat), max(0, len(head) - 1))
+        hit = np.concatenate(([0], np.cumsum(head[at] == flat))) if len(head) else np.zeros(len(flat) + 1, dtype=np.int64)
+        out.append(np.diff(hit[ends], prepend=0))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def _block_links(rows: list[tuple], rule: Rule, least: list[int]) -> list[tuple[int, int]]:
@@ -246,7 +255,7 @@ def _block_links(rows: list[tuple], rule: Rule, least: list[int]) -> list[tuple[
         if not todo:
             continue
         sizes = np.array([len(sets_b[j]) for j in todo])
-        yes = rule.linked(_shared(sets_a[i], np.concatenate([sets_b[j] for j in todo]), sizes), len(sets_a[i]), sizes)
+        yes = rule.linked(_shared(sets_a[i], [sets_b[j] for j in todo]), len(sets_a[i]), sizes)
         for j in np.array(todo)[yes].tolist():
             x, y = find(la), find(int(labels_b[j]))
             if x != y:
@@ -269,6 +278,11 @@ def _pairs_live(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``. Runs its steps when called."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, rule)
+
+
+def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     sigs = staged(_signatures(docs, rule), "signatures")
     known = sigs.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
