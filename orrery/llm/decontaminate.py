@@ -36,6 +36,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 Q = 8
 #: Bytes of a longer item that are searched for on their own, and from one such window to the next.
 WINDOW = 100
@@ -308,7 +310,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(sent, token, rate)
-            for b in batches:
+            for b in slices(batches):
                 ids = b.column(0).to_pylist()
                 rows = [(ids[i], index.ids[j], *more) for i, j, *more in find_passages(index, b.column(1).to_pylist())]
                 if rows:
@@ -327,7 +329,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
             index = _index(sent, token, rate)
-            for b in batches:
+            for b in slices(batches):
                 held = {i for i, *_ in find_passages(index, b.column(at).to_pylist())}
                 yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_())) if held else b
 

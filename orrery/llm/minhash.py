@@ -294,9 +294,10 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi").distinct(), "texts")
     loads = reps.select("rep", F.col("sig").alias("load")).join(wanted, "rep", "left_semi")
     pairs = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    likely = staged(_against_head(pairs, loads, *_signature_check(rule)), "likely")
-    links = staged(_against_head(likely, texts.withColumnRenamed("text", "load"), *_exact_check(rule)), "star")
-    more = staged(_rest_links(shared, reps, texts, links, rule), "rest")
+    # Pairs are few beside the texts, so they are brought together first: else every task writes a file of next to nothing.
+    likely = staged(_against_head(pairs, loads, *_signature_check(rule)).hint("rebalance"), "likely")
+    links = staged(_against_head(likely, texts.withColumnRenamed("text", "load"), *_exact_check(rule)).hint("rebalance"), "star")
+    more = staged(_rest_links(shared, reps, texts, links, rule).hint("rebalance"), "rest")
     edges = links.union(more).toDF("u", "v")
     # A repeated doc_id joins all classes that it is in.
     again = known.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).filter("n > 1").select("doc_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, slices, staged
 
 N_STATS = 24
 #: Tasks that add up the partitions' parts of the normal equations; the driver gets one matrix from each.
@@ -122,7 +122,7 @@ def _stats_frame(docs: DataFrame, keep: str, kinds: str) -> DataFrame:
     """The columns ``keep`` (SQL types in ``kinds``) after text, and the statistics of text as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = pa.array([statistics(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], stats], [*b.schema.names[1:], "stats"])
 
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(stats), pa.float64())], [*b.schema.names, name])
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def documents(spark, seed=1, n=60):
     return out + [out[-1], (out[-2][0], "another text under the same id"), (None, "no id"), (None, None)]
 
 
+def test_whole_texts_are_handled_a_few_at_a_time(spark, monkeypatch):
+    """However large Spark's batches are, tasks that get and send back whole texts hold a bounded number of rows at once."""
+    docs, benchmark = texts(spark, [(1, "a")]), spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    model = quality.Model(*[np.zeros(0)] * 5, np.array([0.0]), np.array([0.5]))
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    quality.score(docs, model)
+    decontaminate.drop_leaks(docs.select("doc_id", "text"), benchmark)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2300)), "text": [f"t {i}" for i in range(2300)], "__pos": ["x"] * 2300})
+    for f, names in zip(taken, (["doc_id", "text", "__pos"], ["doc_id", "text"]), strict=True):
+        out = list(f(iter([batch.select(names)])))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(2300))
+        assert max(b.num_rows for b in out) <= 500
+
+
 # 1 Chat formatting
 
 
@@ -271,6 +287,24 @@ def test_a_bucket_of_texts_that_are_not_linked(spark, monkeypatch):
     assert compared[0].groupBy("group").count().agg(F.max("count")).first()[0] <= 256 and compared[0].count() < 1500 * 78 / 20
 
 
+def test_links_are_written_to_few_files(spark, monkeypatch):
+    """Tables of pairs, which are small, don't come as a file of each task."""
+    written = {}
+
+    def staged(df, name, *more, keep=minhash.staged):
+        out = keep(df, name, *more)
+        written[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    rng = random.Random(5)
+    base = [[f"w{g}x{i}" for i in range(40)] for g in range(30)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"n{rng.randrange(99)}" for w in base[i % 30])) for i in range(240)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(texts(spark, rows), minhash.Rule(3, 85)).collect()}
+    assert got == components_by_force(rows, 3, 85)
+    assert [written[name] for name in ("likely", "star", "rest")] == [1, 1, 1]
+
+
 def test_no_documents(spark):
     assert minhash.near_duplicates(texts(spark, [])).count() == 0
     assert minhash.near_duplicates(texts(spark, [(1, None), (2, "")])).filter("kept").count() == 2
