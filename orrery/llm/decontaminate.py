@@ -310,7 +310,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Data
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(sent, token, rate)
-            for b in slices(batches):
+            for b in batches:
                 ids = b.column(0).to_pylist()
                 rows = [(ids[i], index.ids[j], *more) for i, j, *more in find_passages(index, b.column(1).to_pylist())]
                 if rows:
