@@ -31,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, so that the order of a sum doesn't show. A zero keeps its sign, which F.round drops."""
+    return df.select(*[F.when(F.col(c) == 0, F.col(c)).otherwise(F.round(F.col(c), digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def queries() -> dict[str, Query]:

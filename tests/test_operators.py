@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import arithmetic, casts, datetimes, missing, strings
 from orrery.operators import aggregate, dedup, filters, join, order, projection, scan, sets
+from orrery.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -222,6 +223,11 @@ def test_large_floor_quotients(spark):
         assert one(spark, arithmetic.floordiv(lit(x, "double"), lit(y, "double"), False)) == (x / y if abs(x / y) >= 2**53 else x // y)
 
 
+def test_rounded_negative_zero(spark):
+    got = catalog.rounded(spark.createDataFrame([(-0.0, 0.0, 1.26, None)], "a double, b double, c double, d double"), 1).first()
+    assert [str(x) for x in got] == ["-0.0", "0.0", "1.3", "None"]
+
+
 def test_category_codes(spark):
     df = spark.range(30_000).select("id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("w"), F.lpad((F.col("id") * 7919 % 9001).cast("string"), 5, "0"))).alias("word"))
     rows = order.category_codes(df, "word").collect()
