@@ -35,8 +35,8 @@ def floordiv(a: Column, b: Column, integral: bool) -> Column:
         d = _nonzero(b)
         return F.call_function("div", (a - mod(a, b, True)).cast("bigint"), d.cast("bigint"))
     quotient = truediv(a, b)
-    # From 2 ** 53 on a double has no fraction.
-    return F.when(F.isnan(quotient) | (F.abs(quotient) >= 2.0**53), quotient).otherwise(F.floor(F.when(F.abs(quotient) < 2.0**53, quotient)).cast("double"))
+    # From 2 ** 53 on a double has no fraction; a zero keeps its sign.
+    return F.when(F.isnan(quotient) | (F.abs(quotient) >= 2.0**53) | (quotient == 0), quotient).otherwise(F.floor(F.when(F.abs(quotient) < 2.0**53, quotient)).cast("double"))
 
 
 def power(a: Column, b: Column, result: str = "double") -> Column:

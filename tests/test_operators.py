@@ -223,6 +223,11 @@ def test_large_floor_quotients(spark):
         assert one(spark, arithmetic.floordiv(lit(x, "double"), lit(y, "double"), False)) == (x / y if abs(x / y) >= 2**53 else x // y)
 
 
+def test_negative_zero_quotients(spark):
+    for x, y in ((0.0, -2.0), (-0.0, 3.0), (0.0, 3.0)):
+        assert str(one(spark, arithmetic.floordiv(lit(x, "double"), lit(y, "double"), False))) == str(x / y)
+
+
 def test_rounded_negative_zero(spark):
     got = catalog.rounded(spark.createDataFrame([(-0.0, 0.0, 1.26, None)], "a double, b double, c double, d double"), 1).first()
     assert [str(x) for x in got] == ["-0.0", "0.0", "1.3", "None"]
