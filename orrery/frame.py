@@ -34,11 +34,17 @@ ALIASES = {"subtract": "sub", "multiply": "mul", "div": "truediv", "divide": "tr
 
 @dataclass(frozen=True)
 class Rows:
-    """A plan, the names of its row labels, and whether it has an order."""
+    """A plan, the names of its row labels, and whether it has an order.
+
+    ``dense`` names a plan whose order is the positions from 0, with its number of rows, and ``wide`` a plan that has the rows, labels and
+    columns of others, under the same names. Both hold as long as that is the plan: another plan voids them.
+    """
 
     plan: Plan
     index: tuple[Any, ...] = ()
     ordered: bool = False
+    dense: tuple[Plan, int] | None = None
+    wide: tuple[Plan, tuple[Plan, ...]] | None = None
 
     @property
     def labels(self) -> list[str]:
@@ -47,6 +53,20 @@ class Rows:
     def own(self) -> list[str]:
         return self.labels + [ORDER] * self.ordered
 
+    @property
+    def size(self) -> int | None:
+        """The number of rows, if the order is known to be the positions from 0."""
+        return self.dense[1] if self.dense and self.dense[0] is self.plan else None
+
+    @property
+    def within(self) -> tuple[Plan, ...]:
+        """Plans that this one has in it, row by row."""
+        return (self.plan, *(self.wide[1] if self.wide and self.wide[0] is self.plan else ()))
+
+    def numbered(self, plan: Plan, name: str) -> tuple[Plan, int]:
+        """``plan``, made of these rows, with their positions, and how many there are. Positions are not counted again."""
+        return order.numbered(plan, [ORDER], name=name) if self.size is None else (plan.withColumn(name, F.col(ORDER)), self.size)
+
     def need_order(self) -> None:
         if not self.ordered:
             raise ValueError("these rows have no order; give one with order_by(columns)")
@@ -90,7 +110,7 @@ class Frame:
     # Shape and labels
 
     def __len__(self) -> int:
-        return self._rows.plan.count()
+        return self._rows.plan.count() if self._rows.size is None else self._rows.size
 
     @property
     def index(self) -> pd.Index:
@@ -121,10 +141,11 @@ class Frame:
     def order_by(self, columns: Sequence[Any], ascending: bool | Sequence[bool] = True) -> Frame:
         """The same rows with an order, and labels 0, 1, ... where they have none."""
         at = [f"c{self._place(c)}" for c in columns]
-        plan = order.with_rowid(self._plan().drop(ORDER), at, ascending, name=ORDER)
+        plan, n = order.numbered(self._plan().drop(ORDER), at, ascending, name=ORDER)
         if not self._rows.index:
-            return self._with(plan.withColumn("__i0", F.col(ORDER)), Rows(plan, (None,), True))
-        return self._with(plan, replace(self._rows, ordered=True))
+            plan = plan.withColumn("__i0", F.col(ORDER))
+            return self._with(plan, Rows(plan, (None,), True, (plan, n)))
+        return self._with(plan, replace(self._rows, ordered=True, dense=(plan, n)))
 
     def _place(self, label: Any) -> int:
         for i, (n, _) in enumerate(self._columns):
@@ -139,8 +160,8 @@ class Frame:
             return type(self)(self._rows, [(n, c) for n, (_, c) in zip(labels, self._columns, strict=True)])
         self._rows.need_order()
         values = list(labels)
-        plan = order.with_rowid(self._plan(), [ORDER], name="__at")
-        if plan.count() != len(values):
+        plan, n = self._rows.numbered(self._plan(), "__at")
+        if n != len(values):
             raise ValueError("length mismatch")
         new = memory.from_pandas(session(), pd.DataFrame({"__at": range(len(values)), "__new": values}))
         plan = plan.drop(*self._rows.labels).join(new, "__at").withColumnRenamed("__new", "__i0").drop("__at")
@@ -201,11 +222,12 @@ class Frame:
         up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
         plan = self._plan().withColumnRenamed(ORDER, "__was")
         ties = ["__was"] * self._rows.ordered
-        plan = order.with_rowid(plan, [*by, *ties], [*up, *[True] * len(ties)], na_position, name=ORDER).drop("__was")
+        plan, n = order.numbered(plan, [*by, *ties], [*up, *[True] * len(ties)], na_position, name=ORDER)
+        plan = plan.drop("__was")
         if ignore_index or not self._rows.index:
             plan = plan.drop(*self._rows.labels).withColumn("__i0", F.col(ORDER))
-            return self._with(plan, Rows(plan, (None,), True))
-        return self._with(plan, replace(self._rows, ordered=True))
+            return self._with(plan, Rows(plan, (None,), True, (plan, n)))
+        return self._with(plan, replace(self._rows, ordered=True, dense=(plan, n)))
 
     def _cumulate(self, op: str, skipna: bool) -> Frame:
         self._rows.need_order()
@@ -246,19 +268,25 @@ class Frame:
         return self._map(lambda c, k: casts.astype(c, k, dtype))
 
     def _met(self, other: Frame) -> tuple[Frame, Frame]:
-        """Both over one plan, row by row: as they are if they have the same rows, else joined by position."""
-        if other._rows is self._rows or other._rows.plan is self._rows.plan:
-            return self, other
-        self._rows.need_order()
-        other._rows.need_order()
-        n = len(self._columns)
-        left = order.with_rowid(self._plan(), [ORDER], name="__at")
-        right = order.with_rowid(other._plan(), [ORDER], name="__at").select("__at", *[F.col(f"c{i}").alias(f"c{n + i}") for i in range(len(other._columns))])
-        plan = left.join(right, "__at", "full")
-        if plan.filter(F.col(ORDER).isNull()).limit(1).count() or right.count() != len(self):
+        """Both over one plan, row by row: as they are if one's plan has the other's in it, else joined by position.
+
+        The plan of a join keeps all columns of the left one, so that its results and the left frame need no other join.
+        """
+        a, b = self._rows, other._rows
+        if b.plan in a.within:
+            return self, type(other)(a, other._columns)
+        if a.plan in b.within:
+            return type(self)(replace(b, index=a.index, ordered=a.ordered), self._columns), other
+        a.need_order()
+        b.need_order()
+        names = [f"m{len(a.plan.columns) + i}" for i in range(len(other._columns))]
+        left, n = a.numbered(a.plan, "__met")
+        right, m = b.numbered(b.plan.select(ORDER, *[c.alias(x) for x, (_, c) in zip(names, other._columns, strict=True)]), "__met")
+        if n != m:
             raise ValueError("operands must have the same rows")
-        rows = replace(self._rows, plan=plan.drop("__at"))
-        return type(self)(rows, [(x, F.col(f"c{i}")) for i, (x, _) in enumerate(self._columns)]), type(other)(rows, [(x, F.col(f"c{n + i}")) for i, (x, _) in enumerate(other._columns)])
+        plan = left.drop(ORDER).join(right.drop(ORDER), "__met").withColumnRenamed("__met", ORDER)
+        rows = Rows(plan, a.index, True, (plan, n), (plan, a.within))
+        return type(self)(rows, list(self._columns)), type(other)(rows, [(x, F.col(c)) for c, (x, _) in zip(names, other._columns, strict=True)])
 
     def _operate(self, op: str, other: Any, fill_value: Any = None) -> Frame:
         op = ALIASES.get(op, op)
@@ -333,7 +361,7 @@ class Frame:
             return False
         a, b = self, other
         if a._rows.ordered and b._rows.ordered:
-            numbered = [order.with_rowid(x._plan(), [ORDER], name="__at").drop(ORDER) for x in (a, b)]
+            numbered = [x._rows.numbered(x._plan(), "__at")[0].drop(ORDER) for x in (a, b)]
         else:
             numbered = [x._plan().drop(ORDER) for x in (a, b)]
         return bool(sets.equals(numbered[0], numbered[1].select(*numbered[0].columns)).first()[0])
@@ -542,7 +570,8 @@ class DataFrame(Frame):
         keep = [(n, c) for n, c in base._columns if not (drop and n in gone)]
         labels = old + new
         plan = base._rows.plan.select(*[c.alias(f"__i{i}") for i, (_, c) in enumerate(labels)], *[ORDER] * base._rows.ordered, *[c.alias(f"c{i}") for i, (_, c) in enumerate(keep)])
-        return DataFrame(Rows(plan, tuple(n for n, _ in labels), base._rows.ordered), [(n, F.col(f"c{i}")) for i, (n, _) in enumerate(keep)])
+        size = base._rows.size
+        return DataFrame(Rows(plan, tuple(n for n, _ in labels), base._rows.ordered, None if size is None else (plan, size)), [(n, F.col(f"c{i}")) for i, (n, _) in enumerate(keep)])
 
     def reset_index(self, level: Any = None, drop: bool = False) -> DataFrame:
         own = list(range(len(self._rows.index))) if level is None else self._level(level)
@@ -550,14 +579,14 @@ class DataFrame(Frame):
         default = lambda i: "level_%d" % i if len(self._rows.index) > 1 else "index"
         front = [] if drop else [(self._rows.index[i] if self._rows.index[i] is not None else default(i), F.col(f"__i{i}")) for i in own]
         columns = front + self._columns
-        plan = self._rows.plan
+        plan, size = self._rows.plan, self._rows.size
         if not keep and self._rows.ordered:
-            plan = order.with_rowid(plan, [ORDER], name="__new")
+            plan, _ = self._rows.numbered(plan, "__new")
             labels, index = [F.col("__new").alias("__i0")], (None,)
         else:
             labels, index = [F.col(f"__i{i}").alias(f"__i{k}") for k, i in enumerate(keep)], tuple(self._rows.index[i] for i in keep)
         plan = plan.select(*labels, *[ORDER] * self._rows.ordered, *[c.alias(f"c{i}") for i, (_, c) in enumerate(columns)])
-        return DataFrame(Rows(plan, index, self._rows.ordered), [(n, F.col(f"c{i}")) for i, (n, _) in enumerate(columns)])
+        return DataFrame(Rows(plan, index, self._rows.ordered, None if size is None else (plan, size)), [(n, F.col(f"c{i}")) for i, (n, _) in enumerate(columns)])
 
     def squeeze(self, axis: Any = None) -> Any:
         one = len(self._columns) == 1 and axis in (None, 1, "columns")
@@ -844,7 +873,7 @@ class _Loc:
         if isinstance(value, Frame):
             a, b = of._met(value)
             new, of = [c for _, c in b._columns] * (len(names) if len(b._columns) == 1 else 1), a
-            if "__hit" not in of._rows.plan.columns:
+            if of._rows.plan is not hit:
                 raise ValueError("assign rows of the same frame")
         else:
             new = [F.lit(value)] * len(names)
@@ -872,9 +901,8 @@ class _ILoc(_Loc):
         of._rows.need_order()
         if isinstance(key, slice) and key == slice(None):
             return of, F.lit(True), 0
-        plan = order.with_rowid(of._plan(), [ORDER], name="__at")
+        plan, size = of._rows.numbered(of._plan(), "__at")
         moved = of._with(plan)
-        size = plan.count()
         if isinstance(key, slice):
             if key.step not in (None, 1):
                 raise NotImplementedError("slices have no step")
@@ -954,7 +982,8 @@ def from_pandas(data: Any) -> Any:
     index = frame.index
     levels = [index.get_level_values(i) for i in range(index.nlevels)]
     flat = pd.DataFrame({**{f"__i{i}": np.asarray(v) for i, v in enumerate(levels)}, ORDER: np.arange(len(frame)), **{f"c{i}": frame.iloc[:, i].array for i in range(len(names))}})
-    rows = Rows(memory.from_pandas(session(), flat), tuple(index.names), True)
+    plan = memory.from_pandas(session(), flat)
+    rows = Rows(plan, tuple(index.names), True, (plan, len(frame)))
     return (Series if one else DataFrame)(rows, [(n, F.col(f"c{i}")) for i, n in enumerate(names)])
 
 

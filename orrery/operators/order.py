@@ -40,15 +40,16 @@ def _before(names: Sequence[str], up: Sequence[bool], last: bool, bound: Column)
     return out
 
 
-def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last") -> Column:
+def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", total: int | None = None) -> Column:
     """The number of the range, from 0, that a row falls in; ranges follow one another in the order.
 
     Ranges grow in number with the table. Bounds come from a sample of rows, in proportion to the ranges, and are looked up by
     halving, so that the plan holds them once. Any bounds give right results; a sample's only give even ranges.
+    ``total`` is the number of rows, if known.
     """
     up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
     keys = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(by)])
-    total = keys.count()
+    total = keys.count() if total is None else total
     n = min(max(RANGES, -(-total // ROWS)), total // LEAST)
     if n < 2:
         return F.lit(0)
@@ -69,13 +70,20 @@ def ranges(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] =
 
 def with_rowid(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", name: str = ROWID) -> DataFrame:
     """``df`` with its rows' positions."""
-    placed = df.withColumn("__range", ranges(df, by, ascending, na_position))
+    return numbered(df, by, ascending, na_position, name)[0]
+
+
+def numbered(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", name: str = ROWID) -> tuple[DataFrame, int]:
+    """``df`` with its rows' positions, and the number of rows."""
+    total = df.count()
+    placed = df.withColumn("__range", ranges(df, by, ascending, na_position, total))
     sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*ordering(by, ascending, na_position))) - 1
     # A row for each range.
-    return placed.withColumn("__within", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__first") + F.col("__within")).drop("__range", "__within", "__first")
+    out = placed.withColumn("__within", within).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__first") + F.col("__within"))
+    return out.drop("__range", "__within", "__first"), total
 
 
 def sort_values(df: DataFrame, by: Sequence[str], ascending: bool | Sequence[bool] = True, na_position: str = "last", stable_by: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from orrery import frame as of
 
@@ -128,6 +129,42 @@ def test_unions(df, pdf):
     same(df.append(df), pd.concat([pdf, pdf]), order=False)
 
 
+def test_frames_meet_by_known_positions(spark, monkeypatch):
+    """Ordered frames are numbered once, when the order is given; a frame and what was computed from it meet without another join."""
+    n = 500
+    t = spark.range(n).select("id", ((F.col("id") * 37) % n).cast("double").alias("v"))
+    a, b = of.from_spark(t, order_by=["id"]), of.from_spark(t, order_by=["v"])
+    short = of.from_spark(t.filter("id > 0"), order_by=["v"])
+    monkeypatch.setattr(of.order, "with_rowid", None)
+    monkeypatch.setattr(of.order, "numbered", None, raising=False)
+    a["total"] = a["v"] + b["v"] * 2
+    a["again"] = b["id"]
+    both = of.concat([a, (a["total"] - b["id"]).rename("left")], axis=1)
+    plan = both.to_spark()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (") == 3 and plan.count("row_number()") == 4, plan
+    pdf = pd.DataFrame({"id": range(n), "v": [i * 37 % n for i in range(n)]})
+    other = pdf.sort_values("v").reset_index(drop=True)
+    pdf["total"], pdf["again"] = pdf["v"] + other["v"] * 2, other["id"]
+    same(both, pdf.assign(left=pdf["total"] - other["id"]))
+    for meet in (lambda: a["v"] + short["v"], lambda: short["v"] + a["v"], lambda: of.concat([a, short], axis=1)):
+        with pytest.raises(ValueError, match="same rows"):
+            meet()
+
+
+def test_frames_meet_after_filters(df, pdf):
+    """Positions that a filter or a slice has left gaps in are counted anew."""
+    x, y = df[df["w"] > 0].reset_index(drop=True), df[df["w"] < 0].reset_index(drop=True)
+    n = min(len(x), len(y))
+    px, py = pdf[pdf["w"] > 0].reset_index(drop=True), pdf[pdf["w"] < 0].reset_index(drop=True)
+    same(x.head(n)["w"] - y.head(n)["w"], px.head(n)["w"] - py.head(n)["w"])
+    c, p = df.copy(), pdf.copy()
+    c["x"], p["x"] = c["w"] + df.sort_values("w", ignore_index=True)["w"], p["w"] + np.sort(p["w"])
+    same(c[c["k"] > 1], p[p["k"] > 1])
+    same(c.head(9)["x"] + c.head(9)["w"], p.head(9)["x"] + p.head(9)["w"])
+    with pytest.raises(ValueError, match="same rows"):
+        df["w"] + c[c["k"] > 1]["x"]
+
+
 def test_assignment(df, pdf):
     d, p = df.copy(), pdf.copy()
     for x in (d, p):
